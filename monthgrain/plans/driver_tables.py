@@ -116,6 +116,25 @@ class DriverTables:
             "bonds_lodged",
         )
 
+    @staticmethod
+    def raw_bonds(wide: DataFrame) -> DataFrame:
+        """Raw-file layout of the observations; the statistics the tables lack are simple functions of them."""
+        rent = F.floor("median_rent").cast("bigint")
+        lodged = F.col("bonds_lodged")
+        return wide.select(
+            F.date_format("period_date", "d/MM/yyyy").alias("TimeFrame"),
+            "location_id",
+            F.col("location_name").alias("location"),
+            lodged.alias("LodgedBonds"),
+            (lodged * 3).alias("ActiveBonds"),
+            F.floor(lodged / 2).cast("bigint").alias("ClosedBonds"),
+            rent.alias("MedianRent"),
+            (rent - 1).alias("GeometricMeanRent"),
+            (rent + 50).alias("UpperQuartileRent"),
+            (rent - 50).alias("LowerQuartileRent"),
+            F.lit(0.5).alias("LogStdDevWeeklyRent"),
+        )
+
     @cached_property
     def panel(self) -> DataFrame:
         return monthly_panel(self.clean)

@@ -239,10 +239,10 @@ WHERE p.i <= p.n - 6
 """,
 )
 block("q_predictions", "SELECT * FROM q_naive UNION ALL SELECT * FROM q_smoothed")
-METRICS_SQL = """
-avg(abs(actual - predicted)) AS mae, sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse,
-avg(CASE WHEN abs(actual) + abs(predicted) = 0 THEN 0 ELSE 2.0 * abs(actual - predicted) / (abs(actual) + abs(predicted)) END)
-  * 100.0 AS smape
+SMAPE_SQL = """avg(CASE WHEN abs(actual) + abs(predicted) = 0 THEN 0 ELSE 2.0 * abs(actual - predicted) / (abs(actual) + abs(predicted)) END)
+  * 100.0 AS smape"""
+METRICS_SQL = f"""
+avg(abs(actual - predicted)) AS mae, sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse, {SMAPE_SQL}
 """
 block(
     "q_by_series",
