@@ -10,11 +10,13 @@ array folds cost tens of microseconds per month and grid point, Arrow blocks a f
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
@@ -34,6 +36,9 @@ Parameters = tuple[float, float, float, float]
 GRID: tuple[Parameters, ...] = tuple(
     product((0.1, 0.3, 0.6), (0.05, 0.15, 0.3), (0.05, 0.15, 0.3), (0.8, 0.9, 0.98))
 )
+# the kernel travels with the plan, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # series folded together inside a task: keeps the working arrays in cache
 SERIES_PER_BLOCK = 256
 

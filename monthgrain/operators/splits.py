@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from monthgrain.contracts import HORIZON, MIN_HISTORY_MONTHS, N_ORIGINS, require_columns
-from monthgrain.functions.frames import by_month, whole_series
+from monthgrain.contracts import HORIZON, MIN_HISTORY_MONTHS, N_ORIGINS, REQUIRED_RUN_MONTHS, require_columns
+from monthgrain.functions.frames import by_month, newest_first, whole_series
 from monthgrain.functions.parsing import month_number
 from monthgrain.operators.joins import checked_join, without_duplicated_series
 
@@ -19,6 +19,26 @@ def select_series(panel: DataFrame, catalog: DataFrame) -> DataFrame:
     return kept.where(F.col("period_date") >= F.col("continuous_start")).select(*panel.columns)
 
 
+def select_trailing_runs(panel: DataFrame, required_months: int = REQUIRED_RUN_MONTHS) -> DataFrame:
+    """Same rows as :func:`select_series` with the panel's own catalog, in one pass.
+
+    A month belongs to the trailing run when its distance from the last month equals its place counted
+    from the end. Everything is a window over the series, so no catalog is built, nothing is joined back,
+    and the operators that follow keep the partitioning.
+    """
+    require_columns(panel, ("series_id", "period_date", "value"), "panel")
+    everything = whole_series()
+    back = F.max(month_number(F.col("period_date"))).over(everything) - month_number(F.col("period_date"))
+    placed = without_duplicated_series(panel).withColumn(
+        "_in_run", back == F.dense_rank().over(newest_first()) - 1
+    )
+    months = F.count_if("_in_run").over(everything)
+    gaps = F.count_if(F.col("_in_run") & (F.col("value").isNull() | F.isnan("value"))).over(everything)
+    judged = placed.withColumns({"_months": months, "_gaps": gaps})
+    chosen = F.col("_in_run") & (F.col("_months") >= required_months) & (F.col("_gaps") == 0)
+    return judged.where(chosen).select(*panel.columns)
+
+
 def _complete_run(place: Column, n: Column, first: Column, last: Column, needed: int) -> Column:
     gap = month_number(last) - month_number(first) + 1 != n
     return (

@@ -29,6 +29,18 @@ AUTHORITY_OFFSET = 28
 POLICY_CUTOFF = "2000-08-01"
 TRANSITION = ("2000-01-01", "2001-12-31")
 
+# declared, so that no query starts with a job that reads file footers
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+}
+
 
 class DriverTables:
     """Lazily built frames of one query; nothing is shared between queries."""
@@ -38,7 +50,7 @@ class DriverTables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     # ---- observations ------------------------------------------------------------------
 
@@ -152,19 +164,21 @@ class DriverTables:
 
     @cached_property
     def selected(self) -> DataFrame:
-        return splits.select_series(self.stored_panel, self.catalog)
+        """Modelled rows, found in the same window pass that later operators partition by."""
+        return splits.select_trailing_runs(self.panel)
 
     @cached_property
     def stored_selected(self) -> DataFrame:
+        """The modelled rows written once, for queries with further branches."""
         return durable(self.selected, "selected")
 
     @cached_property
     def naive(self) -> DataFrame:
-        return seasonal_naive.naive_backtest(self.stored_selected)
+        return seasonal_naive.naive_backtest(self.selected)
 
     @cached_property
     def smoothed(self) -> DataFrame:
-        return smoothing.smoothing_backtest(self.stored_selected)
+        return smoothing.smoothing_backtest(self.selected)
 
     @cached_property
     def predictions(self) -> DataFrame:

@@ -444,7 +444,8 @@ def q14(d: DriverTables):
 
 @query("m01_select_forecasting_series", "SELECT series_id, metric, period_date, value FROM q_selected")
 def m01(d: DriverTables):
-    return d.selected.select("series_id", "metric", "period_date", "value")
+    chosen = splits.select_series(d.stored_panel, d.catalog)
+    return chosen.select("series_id", "metric", "period_date", "value")
 
 
 @query("m02_rolling_origins", "SELECT * FROM q_origins")
