@@ -338,15 +338,15 @@ def u03(d: DriverTables):
 
 BOND_TABLE = (
     "period_date date, geography_level string, location_id int, location_name string, bonds_lodged bigint, median_rent double, "
-    "source_snapshot_id bigint, retrieved_at timestamp, load_seq bigint"
+    "source_snapshot_id bigint, retrieved_at timestamp"
 )
 
 
 @query("u05_load_staging", UPSERT_BOND_SQL)
 def u05(d: DriverTables):
     root = _folder(d, "loaded")
-    table = ledger.VersionedTable(d.spark, f"{root}/bonds", BOND_TABLE)
-    book = ledger.VersionedTable(d.spark, f"{root}/ledger", ledger.LEDGER_SCHEMA)
+    table = ledger.LoadedTable(d.spark, f"{root}/bonds", BOND_TABLE, ledger.BOND_KEY)
+    book = ledger.LoadedTable(d.spark, f"{root}/ledger", ledger.LEDGER_SCHEMA, ledger.LEDGER_KEY)
     rows = durable(
         d.clean.select("period_date", "geography_level", "location_id", "location_name", "bonds_lodged", "median_rent"), "clean"
     )
@@ -355,7 +355,6 @@ def u05(d: DriverTables):
             part.drop("load_seq"),
             table,
             book,
-            ledger.BOND_KEY,
             source_name="rental_bond",
             checksum=f"checksum-{seq}",
             file_name=f"load_{seq}.csv",

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from monthgrain.contracts import ContractError, require_columns
@@ -53,69 +53,69 @@ def mark_loaded(ledger: DataFrame, ident: int | Column, row_count: int | Column)
     )
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str], load_order: str = "load_seq") -> DataFrame:
-    """Last load wins on ``key``.
+def newest_versions(rows: DataFrame, key: Sequence[str], load_order: str = "load_seq") -> DataFrame:
+    """The row of the last load for every key.
 
     An aggregation instead of a ranking window: versions of a key are combined map-side, so a key that
     was revised very often is no hot partition and nothing is sorted.
     """
-    require_columns(existing, (*key, load_order), "existing rows")
+    require_columns(rows, (*key, load_order), "versioned rows")
+    rest = [c for c in rows.columns if c not in (*key, load_order)]
+    newest = rows.groupBy(*key).agg(F.max(F.struct(load_order, *rest)).alias("_row"))
+    return newest.select(*key, "_row.*").select(*rows.columns)
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, key: Sequence[str], load_order: str = "load_seq") -> DataFrame:
+    """Existing rows with the incoming ones written over them by key; the later load wins."""
     require_columns(incoming, (*key, load_order), "incoming rows")
-    rest = [c for c in existing.columns if c not in (*key, load_order)]
-    both = existing.unionByName(incoming.select(*existing.columns))
-    newest = both.groupBy(*key).agg(F.max(F.struct(load_order, *rest)).alias("_row"))
-    return newest.select(*key, "_row.*").select(*existing.columns)
+    return newest_versions(existing.unionByName(incoming.select(*existing.columns)), key, load_order)
 
 
 @dataclass(frozen=True)
-class VersionedTable:
-    """A table replaced as a whole: each version is a new directory, a log names the current one.
+class LoadedTable:
+    """A keyed table stored as one folder per load; readers see the newest version of every key.
 
-    A version counts only after its log entry is written, so a failed or repeated load leaves readers on
-    the previous version. One writer at a time.
+    A load writes its own folder and never rewrites what is there, so its cost follows the snapshot and
+    not the table. Loading again under the same number replaces that folder with the same rows. When
+    many loads have piled up, :meth:`compact` folds them into a fresh root.
     """
 
     spark: SparkSession
     root: str
     schema: str
+    key: tuple[str, ...]
 
-    @property
-    def _log(self) -> str:
-        return f"{self.root.rstrip('/')}/_versions"
+    def append(self, rows: DataFrame, load_seq: int) -> None:
+        names = [f.name for f in self.versions().schema.fields if f.name != "load_seq"]
+        require_columns(rows, names, "rows to load")
+        rows.select(*names).write.mode("overwrite").parquet(f"{self.root.rstrip('/')}/load_seq={load_seq}")
 
-    def _entries(self) -> DataFrame | None:
+    def versions(self) -> DataFrame:
+        """Every loaded row with the number of its load (a partition column, pruned by filters on it)."""
+        schema = f"{self.schema}, load_seq bigint"
         try:
-            return self.spark.read.schema("version bigint, path string").json(self._log)
-        except Exception as error:  # the log does not exist before the first load
-            if "PATH_NOT_FOUND" in str(error):
-                return None
-            raise
-
-    def _current(self) -> tuple[int, str | None]:
-        entries = self._entries()
-        newest = entries.orderBy(F.col("version").desc()).first() if entries is not None else None
-        return (newest.version, newest.path) if newest else (0, None)
+            return self.spark.read.schema(schema).parquet(self.root)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame:
-        _, path = self._current()
-        if path is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(path)
+        return newest_versions(self.versions(), self.key)
 
-    def replace(self, rows: DataFrame) -> int:
-        version, _ = self._current()
-        path = f"{self.root.rstrip('/')}/v{version + 1:06d}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(path)
-        entry = self.spark.createDataFrame([(version + 1, path)], "version bigint, path string")
-        entry.coalesce(1).write.mode("append").json(self._log)
-        return version + 1
+    def compact(self, root: str) -> LoadedTable:
+        """Same content under ``root`` as one load that keeps the order with later ones."""
+        last = self.versions().agg(F.max("load_seq").alias("n")).first().n
+        folded = LoadedTable(self.spark, root, self.schema, self.key)
+        if last is not None:
+            folded.append(self.read(), last)
+        return folded
 
 
 def load_snapshot(
     rows: DataFrame,
-    table: VersionedTable,
-    ledger: VersionedTable,
-    key: Sequence[str],
+    table: LoadedTable,
+    ledger: LoadedTable,
     *,
     source_name: str,
     checksum: str,
@@ -123,27 +123,22 @@ def load_snapshot(
     retrieved_at: dt.datetime,
     load_seq: int,
 ) -> int:
-    """One unit of work: register the snapshot, upsert its typed rows, mark it loaded; returns the row count.
+    """One unit of work: register the snapshot, write its typed rows, mark it loaded; returns the row count.
 
-    Running it again with the same snapshot gives the same table.
+    The ledger entry is written last, so a snapshot listed as loaded is complete. Running it again with
+    the same snapshot and number gives the same tables.
     """
     n = rows.count()
     if n == 0:
         raise ContractError("no records were provided for loading")
-    spark = rows.sparkSession
-    entry = spark.createDataFrame(
+    entry = rows.sparkSession.createDataFrame(
         [(source_name, checksum, file_name, n)],
         "source_name string, checksum_sha256 string, file_name string, row_count bigint",
     )
     ident = snapshot_id(F.lit(source_name), F.lit(checksum))
-    stamped = rows.withColumns(
-        {
-            "source_snapshot_id": ident,
-            "retrieved_at": F.lit(retrieved_at),
-            "load_seq": F.lit(load_seq).cast("bigint"),
-        }
-    )
-    registered = register_snapshots(ledger.read(), entry)
-    table.replace(upsert(table.read(), stamped, key))
-    ledger.replace(mark_loaded(registered, ident, n))
+    table.append(rows.withColumns({"source_snapshot_id": ident, "retrieved_at": F.lit(retrieved_at)}), load_seq)
+    known = register_snapshots(ledger.read().drop("load_seq"), entry).where(F.col("snapshot_id") == ident)
+    # a single ledger row, detached from the folder that a repeated load replaces
+    marked = mark_loaded(known, ident, n)
+    ledger.append(rows.sparkSession.createDataFrame(marked.collect(), marked.schema), load_seq)
     return n

@@ -1,47 +1,42 @@
 """Load staging snapshots as they arrive.
 
-The file source remembers which staging files were loaded; each micro-batch is upserted by key with the
-batch number as load order. A batch replayed after a failure writes the same rows with the same load
-order, so the table does not change.
+The file source remembers which staging files were loaded; each micro-batch becomes one load numbered by
+the batch. A batch replayed after a failure replaces its own folder with the same rows, so the table does
+not change.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from monthgrain.sources.bond import NO_NULL_TOKEN
-from monthgrain.sources.ledger import VersionedTable, upsert
+from monthgrain.sources.ledger import LoadedTable
 
 
 def follow_staging(
     spark: SparkSession,
-    staging_glob: str,
+    staging_root: str,
     columns: Sequence[str],
     typed: Callable[[DataFrame], DataFrame],
-    table: VersionedTable,
-    key: Sequence[str],
+    table: LoadedTable,
     checkpoint: str,
 ) -> StreamingQuery:
-    """Upsert every staging file not loaded yet, then stop (``availableNow``)."""
+    """Load every staging file not loaded yet, in arrival order, then stop (``availableNow``)."""
     schema = StructType([StructField(c, StringType()) for c in columns])
     arriving = (
         spark.readStream.schema(schema)
         .option("header", True)
         .option("nullValue", NO_NULL_TOKEN)
         .option("recursiveFileLookup", True)
-        .csv(staging_glob)
+        .option("maxFilesPerTrigger", 1000)
+        .csv(staging_root)
     )
-
-    def load(batch: DataFrame, number: int) -> None:
-        rows = typed(batch).withColumn("load_seq", F.lit(number).cast("bigint"))
-        table.replace(upsert(table.read(), rows, key))
-
     return (
-        arriving.writeStream.foreachBatch(load)
+        arriving.writeStream.foreachBatch(lambda batch, number: table.append(typed(batch), number))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
