@@ -24,15 +24,20 @@ def follow_staging(
     typed: Callable[[DataFrame], DataFrame],
     table: LoadedTable,
     checkpoint: str,
+    files_per_load: int = 1,
 ) -> StreamingQuery:
-    """Load every staging file not loaded yet, in arrival order, then stop (``availableNow``)."""
+    """Load every staging file not loaded yet, in arrival order, then stop (``availableNow``).
+
+    One file per load keeps the rule that the later load wins. Raise ``files_per_load`` only where
+    files of one load cannot share a key, such as the parts of a single snapshot.
+    """
     schema = StructType([StructField(c, StringType()) for c in columns])
     arriving = (
         spark.readStream.schema(schema)
         .option("header", True)
         .option("nullValue", NO_NULL_TOKEN)
         .option("recursiveFileLookup", True)
-        .option("maxFilesPerTrigger", 1000)
+        .option("maxFilesPerTrigger", files_per_load)
         .csv(staging_root)
     )
     return (
