@@ -58,15 +58,13 @@ def with_robust_baseline(df, values: str, minimum: int, median: str, mad: str, i
     The array is the content of a window frame; all three are NULL when it holds fewer than
     ``minimum`` numbers. ``values`` is dropped.
     """
-    df = df.withColumn(values, F.when(F.size(values) >= minimum, F.sort_array(F.col(values))))
-    df = df.withColumns(
-        {
-            median: sorted_quantile(F.col(values), 0.5),
-            iqr: sorted_quantile(F.col(values), 0.75) - sorted_quantile(F.col(values), 0.25),
-        }
-    )
+    ordered = F.when(F.size(values) >= minimum, F.sort_array(F.col(values)))
+    df = df.withColumn(values, ordered)
+    low, middle, high = (sorted_quantile(F.col(values), q) for q in (0.25, 0.5, 0.75))
+    df = df.withColumns({median: middle, iqr: high - low})
     spread = F.sort_array(F.transform(F.col(values), lambda x: F.abs(x - F.col(median))))
-    return df.withColumn(values, spread).withColumn(mad, sorted_quantile(F.col(values), 0.5)).drop(values)
+    kept = [c for c in df.columns if c != values]
+    return df.withColumn(values, spread).select(*kept, sorted_quantile(F.col(values), 0.5).alias(mad))
 
 
 def scale_method(mad: Column, iqr: Column) -> Column:

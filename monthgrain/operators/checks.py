@@ -21,6 +21,7 @@ from monthgrain.contracts import (
     require_columns,
 )
 from monthgrain.functions.parsing import month_number
+from monthgrain.operators.joins import beside
 
 
 def violation(total: Column, name: str) -> Column:
@@ -185,8 +186,7 @@ def comparison_completeness(combined: DataFrame, products: Mapping[str, DataFram
         F.max("horizons").alias("n_horizons"),
         F.sum("rows").alias("combined_rows"),
     )
-    for name, frame in products.items():
-        facts = facts.crossJoin(frame.agg(F.count(F.lit(1)).alias(f"{name}_rows")))
+    facts = beside(facts, *[f.agg(F.count(F.lit(1)).alias(f"{name}_rows")) for name, f in products.items()])
     m, s, o, h, k = (F.col(c) for c in ("n_models", "n_series", "n_origins", "n_horizons", "n_metrics"))
     wanted = {
         "metrics_by_origin": m * s * o,

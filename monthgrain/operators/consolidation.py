@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from monthgrain import contracts as C
 from monthgrain.contracts import require_columns
-from monthgrain.functions.scoring import is_true, percent_of
+from monthgrain.functions.scoring import is_true
 from monthgrain.operators.checks import check_table, violation
-from monthgrain.operators.joins import without_duplicated_series
+from monthgrain.operators.joins import beside, without_duplicated_series
 
 HISTORICAL_NEEDED = (
     "period_date",
@@ -66,6 +66,25 @@ SUMMARY_NEEDED = (
     "detector_coverage",
     "has_forecast_record",
 )
+# Names and wording of the published check table
+SUMMARY_CHECKS = {
+    "unique_series_period": "Each series-period must appear exactly once.",
+    "valid_overall_status": "Overall status must use the approved status vocabulary.",
+    "valid_overall_severity": "Overall severity must be normal, moderate, high, or unavailable.",
+    "valid_overall_direction": "Overall direction must use the approved direction vocabulary.",
+    "valid_detector_coverage": "Detector coverage must use the approved coverage vocabulary.",
+    "overall_alert_union": "Overall dashboard alert must equal historical OR forecast alert.",
+    "confirmed_anomaly_logic": "Confirmed anomaly requires both dashboard alert types.",
+    "historical_alert_logic": "Historical alert status requires historical alert only.",
+    "forecast_alert_logic": "Forecast alert status requires forecast alert only.",
+    "unavailable_status_logic": "Overall status is unavailable only when neither detector is available.",
+    "normal_status_logic": "Normal requires detector coverage and no active dashboard alert.",
+    "detector_coverage_logic": "Detector coverage must match historical and forecast availability.",
+    "alert_severity_consistency": "Every dashboard alert must have moderate or high severity.",
+    "normal_severity_consistency": "Normal observations must have normal overall severity.",
+    "unavailable_severity_consistency": "Unavailable observations must have unavailable overall severity.",
+    "forecast_availability_requires_record": "Forecast detector availability requires a matched forecast record.",
+}
 SIGNAL = {"above_forecast": "high", "below_forecast": "low", "on_forecast": "normal"}
 
 
@@ -104,23 +123,19 @@ def consolidate(historical: DataFrame, forecast: DataFrame) -> DataFrame:
     joined = historical.join(right, ["series_id", "period_date"], "left")
     mismatch = F.col("forecast_metric") != F.col("metric")
     record = F.when(mismatch, F.raise_error(F.lit("historical and forecast metric differ")).cast("boolean"))
-    rows = joined.withColumns(
-        {
-            "has_forecast_record": record.otherwise(is_true(F.col("has_forecast_record"))),
-            "historical_dashboard_alert": is_true(F.col("dashboard_alert")),
-            "forecast_dashboard_alert": is_true(F.col("forecast_dashboard_alert")),
-            "historical_detector_available": is_true(F.col("historical_score_available")),
-            "forecast_detector_available": is_true(F.col("forecast_score_available")),
-        }
-    )
-    ha, fa = F.col("historical_dashboard_alert"), F.col("forecast_dashboard_alert")
-    hs, fs = F.col("historical_detector_available"), F.col("forecast_detector_available")
+    ha, fa = is_true(F.col("dashboard_alert")), is_true(F.col("forecast_dashboard_alert"))
+    hs, fs = is_true(F.col("historical_score_available")), is_true(F.col("forecast_score_available"))
     worst = F.greatest(
         _severity_rank(ha, F.col("historical_severity")), _severity_rank(fa, F.col("forecast_severity"))
     )
     said = _signal(F.col("forecast_error_direction"))
-    return rows.withColumns(
+    return joined.withColumns(
         {
+            "has_forecast_record": record.otherwise(is_true(F.col("has_forecast_record"))),
+            "historical_dashboard_alert": ha,
+            "forecast_dashboard_alert": fa,
+            "historical_detector_available": hs,
+            "forecast_detector_available": fs,
             "detector_coverage": coverage(hs, fs),
             "overall_status": F.when(~(hs | fs), "unavailable")
             .when(ha & fa, "confirmed_anomaly")
@@ -176,24 +191,6 @@ def summary_checks(summary: DataFrame) -> DataFrame:
         "unavailable_severity_consistency": is_true(status == "unavailable") & ~level.eqNullSafe("unavailable"),
         "forecast_availability_requires_record": fs & ~is_true(F.col("has_forecast_record")),
     }
-    details = {
-        "unique_series_period": "Each series-period must appear exactly once.",
-        "valid_overall_status": "Overall status must use the approved status vocabulary.",
-        "valid_overall_severity": "Overall severity must be normal, moderate, high, or unavailable.",
-        "valid_overall_direction": "Overall direction must use the approved direction vocabulary.",
-        "valid_detector_coverage": "Detector coverage must use the approved coverage vocabulary.",
-        "overall_alert_union": "Overall dashboard alert must equal historical OR forecast alert.",
-        "confirmed_anomaly_logic": "Confirmed anomaly requires both dashboard alert types.",
-        "historical_alert_logic": "Historical alert status requires historical alert only.",
-        "forecast_alert_logic": "Forecast alert status requires forecast alert only.",
-        "unavailable_status_logic": "Overall status is unavailable only when neither detector is available.",
-        "normal_status_logic": "Normal requires detector coverage and no active dashboard alert.",
-        "detector_coverage_logic": "Detector coverage must match historical and forecast availability.",
-        "alert_severity_consistency": "Every dashboard alert must have moderate or high severity.",
-        "normal_severity_consistency": "Normal observations must have normal overall severity.",
-        "unavailable_severity_consistency": "Unavailable observations must have unavailable overall severity.",
-        "forecast_availability_requires_record": "Forecast detector availability requires a matched forecast record.",
-    }
     per_key = summary.groupBy("series_id", "period_date").agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(rule).alias(name) for name, rule in rules.items()]
     )
@@ -201,7 +198,7 @@ def summary_checks(summary: DataFrame) -> DataFrame:
         violation(F.sum(F.when(F.col("n") > 1, F.col("n"))), "unique_series_period"),
         *[violation(F.sum(name), name) for name in rules],
     )
-    return check_table(totals, details)
+    return check_table(totals, SUMMARY_CHECKS)
 
 
 def anomaly_metadata(summary: DataFrame) -> DataFrame:
@@ -221,7 +218,7 @@ def anomaly_metadata(summary: DataFrame) -> DataFrame:
         F.count_if(level == "moderate").alias("moderate"),
         F.count_if(status == "unavailable").alias("unavailable"),
     )
-    # distinct months are counted from (month) rows, not from one collected set of all series
+    # distinct months are counted as rows, not in one set collected over all series
     months = per_series.select(F.explode("months").alias("m")).distinct().agg(F.count(F.lit(1)).alias("periods"))
     totals = per_series.agg(
         F.sum("rows").alias("rows"),
@@ -229,9 +226,11 @@ def anomaly_metadata(summary: DataFrame) -> DataFrame:
         F.min("lo").alias("lo"),
         F.max("hi").alias("hi"),
         *[F.sum(c).alias(c) for c in ("records", "h", "f", "o", "both", "high", "moderate", "unavailable")],
-    ).crossJoin(months)
+    )
+    totals = beside(totals, months)
     rent_h, bond_h = C.HISTORICAL_MATERIALITY[C.METRIC_RENT], C.HISTORICAL_MATERIALITY[C.METRIC_BONDS]
     rent_f, bond_f = C.RESIDUAL_MATERIALITY[C.METRIC_RENT], C.RESIDUAL_MATERIALITY[C.METRIC_BONDS]
+    # fixed values: rows of the published metadata table
     items = [
         ("dataset", "rows", F.col("rows")),
         ("dataset", "series", F.col("series")),
@@ -328,10 +327,5 @@ def platform_headline(panel: DataFrame, catalog: DataFrame, summary: DataFrame,
         F.count_if(F.col("overall_status") == "confirmed_anomaly").alias("both_detectors_flagged"),
     )
     produced = forecasts.select("series_id").distinct().agg(F.count(F.lit(1)).alias("production_series"))
-    # four one-row frames
-    return history.crossJoin(eligible).crossJoin(alerts).crossJoin(produced)
-
+    return beside(history, eligible, alerts, produced)
 
-def share_of(part: str, whole: str) -> Column:
-    """Rate in 0..1, zero when nothing was counted."""
-    return F.coalesce(percent_of(F.col(part), F.col(whole)) / 100.0, F.lit(0.0))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from monthgrain.contracts import SHOCK_SIZE, SWEEP_THRESHOLDS, require_columns
 from monthgrain.functions.parsing import month_number
 from monthgrain.functions.scoring import is_true
 from monthgrain.operators.checks import check_table, violation
 from monthgrain.operators.historical_anomalies import detect_historical
+from monthgrain.operators.joins import beside
 
 # The documented change of the source system
 TRANSITION_START = dt.date(2025, 1, 1)
@@ -29,7 +30,7 @@ def transition_rates(
 ) -> DataFrame:
     """Anomaly and alert rates in the transition and in an equally long window just before it.
 
-    Rows are summed per month first; the two windows then read a calendar-sized frame.
+    Rows are summed per month first; both windows are then conditional sums over a calendar-sized frame.
     """
     need = ("period_date", "historical_score_available", "historical_is_anomaly", "dashboard_alert")
     require_columns(anomalies, need, "historical anomalies")
@@ -40,35 +41,29 @@ def transition_rates(
         F.count_if(scored & is_true(F.col("historical_is_anomaly"))).alias("flagged"),
         F.count_if(is_true(F.col("dashboard_alert"))).alias("alerts"),
     )
-    last = F.least(F.max("period_date"), F.lit(end))
+    last = monthly.agg(F.least(F.max("period_date"), F.lit(end))).scalar()
     months = (month_number(last) - month_number(F.lit(start)) + 1).cast("int")
-    bounds = monthly.agg(last.alias("last"), months.alias("months"))
-    windows = bounds.select(
-        "months",
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit("pre_transition_comparison").alias("period"),
-                    F.add_months(F.lit(start), -F.col("months")).alias("start_date"),
-                    F.add_months(F.lit(start), -1).alias("end_date"),
-                ),
-                F.struct(
-                    F.lit("bond_hub_transition").alias("period"),
-                    F.lit(start).alias("start_date"),
-                    F.col("last").alias("end_date"),
-                ),
-            )
-        ),
-    )
-    # two window rows against one row per month
-    inside = F.col("period_date").between(F.col("start_date"), F.col("end_date"))
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    counts = windows.join(F.broadcast(monthly), inside, "left").groupBy("period", "start_date", "end_date", "months").agg(
-        total("rows").alias("rows"),
-        total("scored").alias("scored_observations"),
-        total("flagged").alias("statistical_anomalies"),
-        total("alerts").alias("dashboard_alerts"),
-    )
+    windows = {
+        "pre_transition_comparison": (F.add_months(F.lit(start), -months), F.add_months(F.lit(start), -1)),
+        "bond_hub_transition": (F.lit(start), last),
+    }
+
+    def totals(name: str) -> Column:
+        lo, hi = windows[name]
+        inside = F.col("period_date").between(lo, hi)
+        added = lambda c: F.coalesce(F.sum(F.when(inside, F.col(c))), F.lit(0)).cast("bigint")
+        return F.struct(
+            F.lit(name).alias("period"),
+            F.any_value(lo).alias("start_date"),
+            F.any_value(hi).alias("end_date"),
+            F.any_value(months).alias("months"),
+            added("rows").alias("rows"),
+            added("scored").alias("scored_observations"),
+            added("flagged").alias("statistical_anomalies"),
+            added("alerts").alias("dashboard_alerts"),
+        )
+
+    counts = monthly.agg(F.array(*[totals(name) for name in windows]).alias("windows")).select(F.inline("windows"))
     n = F.col("scored_observations")
     rate = lambda c: F.when(n > 0, F.col(c) / n).otherwise(0.0)
     return counts.withColumns(
@@ -141,8 +136,7 @@ def threshold_sweep(panel: DataFrame, thresholds: Sequence[float] = SWEEP_THRESH
             for i, t in enumerate(thresholds)
         ]
     )
-    # two one-row frames
-    swept = shocked.crossJoin(clean).select("cases", "scored", F.inline(rows))
+    swept = beside(shocked, clean).select("cases", "scored", F.inline(rows))
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return swept.select(
         F.lit("threshold_sensitivity").alias("evaluation"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from monthgrain.contracts import (
     BASELINE_MIN,
     BASELINE_WINDOW,
     HISTORICAL_MATERIALITY,
+    MODERATE_SCORE,
     SEASON,
     require_columns,
 )
@@ -25,12 +26,15 @@ from monthgrain.functions.scoring import (
 )
 
 
-def seasonal_difference(panel: DataFrame, lag: int = SEASON) -> DataFrame:
-    """Value minus the value ``lag`` rows earlier in the same series."""
+def _with_reference(panel: DataFrame, lag: int) -> DataFrame:
     w = by_month()
     value = reject_repeats(number_or_null(F.col("value")), w, F.col("period_date"), "panel")
-    typed = panel.withColumns({"value": value, "seasonal_reference": F.lag(number_or_null(F.col("value")), lag).over(w)})
-    return typed.withColumn("seasonal_change", F.col("value") - F.col("seasonal_reference"))
+    return panel.withColumns({"value": value, "seasonal_reference": F.lag(number_or_null(F.col("value")), lag).over(w)})
+
+
+def seasonal_difference(panel: DataFrame, lag: int = SEASON) -> DataFrame:
+    """Value minus the value ``lag`` rows earlier in the same series."""
+    return _with_reference(panel, lag).withColumn("seasonal_change", F.col("value") - F.col("seasonal_reference"))
 
 
 def detect_historical(
@@ -47,24 +51,28 @@ def detect_historical(
     require_columns(panel, ("series_id", "period_date", "value"), "panel")
     if seasonal_lag < 1 or baseline_window < 2 or min_periods < 2 or min_periods > baseline_window:
         raise ValueError("need seasonal_lag >= 1 and 2 <= min_periods <= baseline_window")
+    change = F.col("value") - F.col("seasonal_reference")
     before = by_month().rowsBetween(-baseline_window, -1)
-    rows = seasonal_difference(panel, seasonal_lag).withColumn("_prior", F.collect_list("seasonal_change").over(before))
+    rows = _with_reference(panel, seasonal_lag).withColumns(
+        {"seasonal_change": change, "_prior": F.collect_list(change).over(before)}
+    )
     rows = with_robust_baseline(
         rows, "_prior", min_periods, "historical_change_expected", "historical_mad", "historical_iqr"
     )
     mad, iqr = F.col("historical_mad"), F.col("historical_iqr")
-    rows = rows.withColumn("historical_expected", F.col("seasonal_reference") + F.col("historical_change_expected"))
-    rows = rows.withColumn("historical_deviation", F.col("value") - F.col("historical_expected"))
-    rows = rows.withColumns(
+    expected = F.col("seasonal_reference") + F.col("historical_change_expected")
+    deviation = F.col("value") - expected
+    scale = robust_scale(mad, iqr)
+    score = F.when(scale > 0, deviation / scale)
+    return rows.withColumns(
         {
-            "historical_deviation_pct": percent_of(F.col("historical_deviation"), F.col("historical_expected")),
+            "historical_expected": expected,
+            "historical_deviation": deviation,
+            "historical_deviation_pct": percent_of(deviation, expected),
             "historical_scale_method": scale_method(mad, iqr),
-            "historical_scale": robust_scale(mad, iqr),
-        }
-    )
-    score = F.when(F.col("historical_scale") > 0, F.col("historical_deviation") / F.col("historical_scale"))
-    return score_fields(rows.withColumn("historical_score", score)).withColumns(
-        {
+            "historical_scale": scale,
+            "historical_score": score,
+            **score_fields(score, "historical"),
             "seasonal_lag": F.lit(seasonal_lag),
             "baseline_window": F.lit(baseline_window),
             "minimum_baseline_observations": F.lit(min_periods),
@@ -72,16 +80,14 @@ def detect_historical(
     )
 
 
-def score_fields(rows: DataFrame, prefix: str = "historical", score: str = "historical_score") -> DataFrame:
-    s = F.col(score)
-    return rows.withColumns(
-        {
-            f"{prefix}_score_available": s.isNotNull(),
-            f"{prefix}_severity": severity(s),
-            f"{prefix}_direction": direction(s),
-            f"{prefix}_is_anomaly": severity(s).isin("moderate", "high"),
-        }
-    )
+def score_fields(score: Column, prefix: str) -> dict[str, Column]:
+    """Availability, severity, direction and anomaly flag of a score."""
+    return {
+        f"{prefix}_score_available": score.isNotNull(),
+        f"{prefix}_severity": severity(score),
+        f"{prefix}_direction": direction(score),
+        f"{prefix}_is_anomaly": is_true(F.abs(score) >= MODERATE_SCORE),
+    }
 
 
 def practical_historical(anomalies: DataFrame) -> DataFrame:
@@ -100,19 +106,18 @@ def practical_historical(anomalies: DataFrame) -> DataFrame:
         absolute = F.when(metric == name, F.lit(abs_min)).otherwise(absolute)
         percentage = F.when(metric == name, F.lit(pct_min)).otherwise(percentage)
     dev, pct = F.col("historical_deviation"), F.col("historical_deviation_pct")
-    rows = anomalies.withColumns({"practical_abs_threshold": absolute, "practical_pct_threshold": percentage})
-    known = F.col("practical_abs_threshold").isNotNull() & dev.isNotNull() & pct.isNotNull()
-    material = known & (F.abs(dev) >= F.col("practical_abs_threshold")) & (F.abs(pct) >= F.col("practical_pct_threshold"))
+    known = absolute.isNotNull() & dev.isNotNull() & pct.isNotNull()
+    material = is_true(known & (F.abs(dev) >= absolute) & (F.abs(pct) >= percentage))
     scored, anomaly = is_true(F.col("historical_score_available")), is_true(F.col("historical_is_anomaly"))
-    rows = rows.withColumns(
+    alert = scored & anomaly & material
+    return anomalies.withColumns(
         {
+            "practical_abs_threshold": absolute,
+            "practical_pct_threshold": percentage,
             "practical_significance_available": known,
-            "practical_significance": is_true(material),
+            "practical_significance": material,
             "statistical_anomaly": anomaly,
+            "dashboard_alert": alert,
+            "alert_status": alert_status(scored, known, alert, anomaly),
         }
     )
-    rows = rows.withColumn("dashboard_alert", scored & anomaly & F.col("practical_significance"))
-    return rows.withColumn(
-        "alert_status",
-        alert_status(scored, F.col("practical_significance_available"), F.col("dashboard_alert"), anomaly),
-    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -36,5 +37,11 @@ def without_duplicated_series(df: DataFrame) -> DataFrame:
     return df.where(~F.col("series_id").isin(*duplicated_series_ids()))
 
 
+def beside(*frames: DataFrame) -> DataFrame:
+    """One-row frames side by side in one row: united by name, then every column's only value is kept."""
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return united.agg(*[F.max(c).alias(c) for f in frames for c in f.columns])
+
+
 def repeated_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
     return df.groupBy(*on).agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") > 1)

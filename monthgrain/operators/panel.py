@@ -28,17 +28,22 @@ def melt_metrics(wide: DataFrame) -> DataFrame:
     """One row per metric; a map-side reshape, no exchange."""
     require_columns(wide, (*WIDE_KEYS, *METRICS), "wide table")
     typed = wide.select(*WIDE_KEYS, *[number_or_null(F.col(m)).alias(m) for m in METRICS])
-    return (
-        typed.unpivot(list(WIDE_KEYS), list(METRICS), "metric", "value")
-        .withColumn("series_id", series_key(F.col("geography_level"), F.col("location_id"), F.col("metric")))
-        .withColumn("period_date", F.col("period_date").cast("date"))
-        .withColumnRenamed("is_provisional", "source_snapshot_provisional")
+    return typed.unpivot(list(WIDE_KEYS), list(METRICS), "metric", "value").select(
+        F.col("period_date").cast("date").alias("period_date"),
+        series_key(F.col("geography_level"), F.col("location_id"), F.col("metric")).alias("series_id"),
+        "geography_level",
+        "location_id",
+        "location_name",
+        "metric",
+        "value",
+        F.col("is_provisional").alias("source_snapshot_provisional"),
+        "source_snapshot_id",
     )
 
 
 def monthly_panel(wide: DataFrame) -> DataFrame:
     """Long panel; sorting is left to the sink and validation to :func:`panel_checks`."""
-    return melt_metrics(core_geographies(wide)).select(*PANEL_COLUMNS)
+    return melt_metrics(core_geographies(wide))
 
 
 def panel_checks(panel: DataFrame) -> DataFrame:

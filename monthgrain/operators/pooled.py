@@ -151,7 +151,7 @@ def _fit_all(history: DataFrame, origins: list[tuple[str, dt.date]], settings: B
 def _states(history: DataFrame, origins: list[tuple[str, dt.date]]) -> DataFrame:
     unique = sorted({o for _, o in origins})
     tails = union_loose([_tails(history, F.lit(o)).withColumn("origin", F.lit(o)) for o in unique])
-    differ = F.raise_error(F.lit("all pooled series must end at the same forecast origin")).cast("array<double>")
+    differ = F.raise_error(F.lit("series end in different months")).cast("array<double>")
     return tails.withColumn("tail", F.when(F.col("_end") != F.col("origin"), differ).otherwise(F.col("tail"))).drop("_end")
 
 

@@ -14,6 +14,7 @@ from monthgrain.contracts import (
     require_columns,
 )
 from monthgrain.functions.parsing import month_number
+from monthgrain.operators.joins import beside
 
 CATALOG_ORDER = ("metric", "geography_level", "location_id")
 
@@ -108,8 +109,7 @@ def modelling_readiness(panel: DataFrame, catalog: DataFrame, quality: DataFrame
     rolling = (n > 0) & (shortest >= REQUIRED_RUN_MONTHS)
     features = (n > 0) & (shortest > SEASON)
     checked = (n > 0) & (F.col("eligible_quality_pass_series") == n)
-    # two one-row frames
-    return extent.crossJoin(counts).select(
+    return beside(extent, counts).select(
         (rolling & features & checked).alias("dataset_ready"),
         "n_series",
         "complete_series",

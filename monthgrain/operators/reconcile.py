@@ -13,6 +13,7 @@ from monthgrain.contracts import (
     TOTAL_CATEGORY,
     UNKNOWN_CATEGORY,
 )
+from monthgrain.operators.joins import beside
 
 
 def market_region_rows(market: DataFrame) -> DataFrame:
@@ -112,6 +113,6 @@ def cross_source_verdict(market_rows: DataFrame, bond_rows: DataFrame, **toleran
     )
     missing = F.col("missing_in_market") + F.col("missing_in_rental") > 0
     warned = F.col("median_warn_count") + F.col("bonds_warn_count") > 0
-    return matches.crossJoin(counts).withColumn(
+    return beside(matches, counts).withColumn(
         "overall_status", F.when(missing, "FAIL").when(warned, "WARN").otherwise("PASS")
     )

@@ -52,30 +52,29 @@ def detect_residual(
     if horizon < 1 or min_prior < 3:
         raise ValueError("need horizon >= 1 and min_prior >= 3")
     w = by_month("series_id", "forecast_period")
+    typed = {c: number_or_null(F.col(c)) for c in ("actual", "predicted")}
+    difference = typed["actual"] - typed["predicted"]
+    guarded = reject_repeats(difference, w, F.col("forecast_period"), "winner predictions")
+    earlier = F.collect_list(difference).over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = winner_predictions(predictions, winners, horizon).withColumns(
-        {"actual": number_or_null(F.col("actual")), "predicted": number_or_null(F.col("predicted"))}
+        {**typed, "forecast_residual": guarded, "_prior": earlier}
     )
-    residual = reject_repeats(F.col("actual") - F.col("predicted"), w, F.col("forecast_period"), "winner predictions")
-    rows = rows.withColumn("forecast_residual", residual)
-    rows = rows.withColumns(
+    rows = with_robust_baseline(rows, "_prior", min_prior, "residual_median", "residual_mad", "residual_iqr")
+    residual, mad, iqr = F.col("forecast_residual"), F.col("residual_mad"), F.col("residual_iqr")
+    scale = robust_scale(mad, iqr)
+    score = F.when(scale > 0, (residual - F.col("residual_median")) / scale)
+    return rows.withColumns(
         {
-            "forecast_residual_pct": percent_of(F.col("forecast_residual"), F.col("predicted")),
-            "forecast_error_direction": residual_direction(F.col("forecast_residual")),
-            "_prior": F.collect_list("forecast_residual").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+            "forecast_residual_pct": percent_of(residual, F.col("predicted")),
+            "forecast_error_direction": residual_direction(residual),
+            "forecast_scale_method": scale_method(mad, iqr),
+            "forecast_residual_scale": scale,
+            "forecast_anomaly_score": score,
+            **score_fields(score, "forecast"),
+            "forecast_anomaly_horizon": F.lit(horizon),
+            "minimum_prior_residuals": F.lit(min_prior),
         }
     )
-    rows = with_robust_baseline(rows, "_prior", min_prior, "residual_median", "residual_mad", "residual_iqr")
-    mad, iqr = F.col("residual_mad"), F.col("residual_iqr")
-    rows = rows.withColumns(
-        {"forecast_scale_method": scale_method(mad, iqr), "forecast_residual_scale": robust_scale(mad, iqr)}
-    )
-    score = F.when(
-        F.col("forecast_residual_scale") > 0,
-        (F.col("forecast_residual") - F.col("residual_median")) / F.col("forecast_residual_scale"),
-    )
-    return score_fields(rows.withColumn("forecast_anomaly_score", score), "forecast", "forecast_anomaly_score").withColumns(
-        {"forecast_anomaly_horizon": F.lit(horizon), "minimum_prior_residuals": F.lit(min_prior)}
-    )
 
 
 def practical_residual(anomalies: DataFrame) -> DataFrame:
@@ -88,16 +87,15 @@ def practical_residual(anomalies: DataFrame) -> DataFrame:
     material = F.when(metric == METRIC_RENT, (size >= rent_abs) & (pct >= rent_pct)).when(
         metric == METRIC_BONDS, (size >= bond_abs) | (pct >= bond_pct)
     )
+    material = known & is_true(material)
     scored, anomaly = is_true(F.col("forecast_score_available")), is_true(F.col("forecast_is_anomaly"))
-    rows = anomalies.withColumns(
+    alert = scored & anomaly & material
+    return anomalies.withColumns(
         {
             "forecast_practical_significance_available": known,
-            "forecast_practical_significance": known & is_true(material),
+            "forecast_practical_significance": material,
             "forecast_statistical_anomaly": anomaly,
+            "forecast_dashboard_alert": alert,
+            "forecast_alert_status": alert_status(scored, known, alert, anomaly),
         }
     )
-    rows = rows.withColumn("forecast_dashboard_alert", scored & anomaly & F.col("forecast_practical_significance"))
-    return rows.withColumn(
-        "forecast_alert_status",
-        alert_status(scored, known, F.col("forecast_dashboard_alert"), anomaly),
-    )

@@ -42,7 +42,7 @@ def naive_backtest(
     if season < horizon:
         raise ValueError("the season must cover the horizon, otherwise future values would be read")
     reference = F.max("value").over(months_back(season))
-    missing = F.raise_error(F.lit("seasonal reference period is not in the training data"))
+    missing = F.raise_error(F.lit("the month one season earlier is absent"))
     rows = with_origin_bounds(panel, horizon, n_origins, min_history).withColumn("_reference", reference)
     targets = (
         rows.withColumn("horizon_step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
@@ -71,7 +71,7 @@ def future_periods(history: DataFrame, horizon: int = HORIZON) -> DataFrame:
     ends = history.groupBy("series_id").agg(F.max("period_date").alias("end")).agg(
         F.min("end").alias("lo"), F.max("end").alias("hi")
     )
-    differ = F.raise_error(F.lit("all series must end at the same forecast origin"))
+    differ = F.raise_error(F.lit("series end in different months"))
     origin = F.when(F.col("lo") != F.col("hi"), differ.cast("date")).otherwise(F.col("hi"))
     steps = F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("horizon_step")
     return (

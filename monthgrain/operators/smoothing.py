@@ -64,7 +64,7 @@ def _series_arrays(history: DataFrame, season: int) -> DataFrame:
     problem = (
         F.when(F.col("_n") < 2 * season, "smoothing needs two full seasons")
         .when(F.col("_present") < F.col("_n"), "smoothing values cannot be missing")
-        .when((span != F.col("_n")) | (distinct != F.col("_n")), "smoothing periods must form a complete monthly sequence")
+        .when((span != F.col("_n")) | (distinct != F.col("_n")), "smoothing needs months without gaps or repeats")
     )
     values = F.when(problem.isNotNull(), F.raise_error(problem).cast("array<double>")).otherwise(F.col("_rows.value"))
     return rows.withColumn("y", values).drop("_rows", "_present")
@@ -182,7 +182,7 @@ def smoothing_backtest(
     """Rolling-origin predictions of every series."""
     arrays = _series_arrays(panel, season)
     n = F.col("_n").cast("int")
-    short = F.raise_error(F.lit("insufficient history for rolling-origin evaluation")).cast("int")
+    short = F.raise_error(F.lit("too few months for a rolling-origin window")).cast("int")
     last = F.when(n < min_history + horizon, short).otherwise(n - horizon)
     first = F.greatest(F.lit(min_history), n - horizon - n_origins + 1)
     fitted = fit_paths(arrays, first, last, tuple(grid), horizon, season)

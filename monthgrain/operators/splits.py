@@ -42,8 +42,8 @@ def select_trailing_runs(panel: DataFrame, required_months: int = REQUIRED_RUN_M
 def _complete_run(place: Column, n: Column, first: Column, last: Column, needed: int) -> Column:
     gap = month_number(last) - month_number(first) + 1 != n
     return (
-        F.when(gap, F.raise_error(F.lit("periods must form a complete monthly sequence without repeats")))
-        .when(n < needed, F.raise_error(F.lit("insufficient history for rolling-origin evaluation")))
+        F.when(gap, F.raise_error(F.lit("months are missing or repeated")))
+        .when(n < needed, F.raise_error(F.lit("too few months for a rolling-origin window")))
         .otherwise(place)
     )
 

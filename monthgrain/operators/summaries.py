@@ -123,9 +123,9 @@ def one_series(df: DataFrame, level: str, location: str, metric: str) -> DataFra
 
 
 def latest_years(df: DataFrame, years: int, column: str = "period_date") -> DataFrame:
-    """Rows from the newest ``years`` of the data set (the bound is a one-row aggregate)."""
-    newest = df.agg(F.add_months(F.max(column), -12 * years).alias("_from"))
-    return df.crossJoin(F.broadcast(newest)).where(F.col(column) >= F.col("_from")).drop("_from")
+    """Rows from the newest ``years`` of the data set; the bound is a scalar subquery."""
+    newest = df.agg(F.add_months(F.max(column), -12 * years))
+    return df.where(F.col(column) >= newest.scalar())
 
 
 def annual_averages(panel: DataFrame) -> DataFrame:

@@ -168,9 +168,9 @@ class DriverTables:
         return splits.select_trailing_runs(self.panel)
 
     @cached_property
-    def stored_selected(self) -> DataFrame:
-        """The modelled rows written once, for queries with further branches."""
-        return durable(self.selected, "selected")
+    def modelled(self) -> DataFrame:
+        """The same rows from the stored panel, for queries that read them in several branches."""
+        return splits.select_trailing_runs(self.stored_panel)
 
     @cached_property
     def naive(self) -> DataFrame:
@@ -183,7 +183,8 @@ class DriverTables:
     @cached_property
     def predictions(self) -> DataFrame:
         """Both deterministic models' rolling-origin predictions, written once."""
-        return durable(comparison.combine_predictions([self.naive, self.smoothed]), "predictions")
+        frames = [seasonal_naive.naive_backtest(self.modelled), smoothing.smoothing_backtest(self.modelled)]
+        return durable(comparison.combine_predictions(frames), "predictions")
 
     @cached_property
     def by_series(self) -> DataFrame:

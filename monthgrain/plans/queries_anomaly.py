@@ -167,7 +167,7 @@ def t03(d: DriverTables):
     """,
 )
 def a17(d: DriverTables):
-    forecasts = smoothing.smoothing_forward(d.stored_selected)
+    forecasts = smoothing.smoothing_forward(d.modelled)
     return consolidation.platform_headline(d.stored_panel, d.catalog, d.summary, forecasts)
 
 

@@ -171,7 +171,7 @@ def j04(d: DriverTables):
 )
 def j07(d: DriverTables):
     forecasts = d.naive.select("model", "series_id", "origin", "forecast_period", "horizon_step", "predicted")
-    return production.attach_actuals(forecasts, d.stored_selected)
+    return production.attach_actuals(forecasts, d.modelled)
 
 
 # ---- sets and order ------------------------------------------------------------------------------------
@@ -323,8 +323,8 @@ def q09(d: DriverTables):
     ),
 )
 def q10(d: DriverTables):
-    forecasts = smoothing.smoothing_forward(d.stored_selected)
-    return production.forward_checks(forecasts, d.stored_selected).drop("details")
+    forecasts = smoothing.smoothing_forward(d.modelled)
+    return production.forward_checks(forecasts, d.modelled).drop("details")
 
 
 # ---- forward forecasts -------------------------------------------------------------------------------------
@@ -345,12 +345,12 @@ def m09(d: DriverTables):
 
 @query("m10_seasonal_naive_forward", f"SELECT {FORWARD} FROM q_naive_forward")
 def m10(d: DriverTables):
-    return seasonal_naive.naive_forward(d.stored_selected)
+    return seasonal_naive.naive_forward(d.modelled)
 
 
 @query("m11_ets_forward", f"SELECT {FORWARD} FROM q_forward", rounded=["predicted"])
 def m11(d: DriverTables):
-    return smoothing.smoothing_forward(d.stored_selected)
+    return smoothing.smoothing_forward(d.modelled)
 
 
 WINNER_FORWARD_SQL = """
@@ -364,7 +364,7 @@ BACKTEST = ["backtest_mae", "backtest_rmse", "backtest_smape"]
 
 @query("m14_winner_forward", WINNER_FORWARD_SQL, rounded=["predicted", *BACKTEST])
 def m14(d: DriverTables):
-    history = d.stored_selected
+    history = d.modelled
     both = seasonal_naive.naive_forward(history).unionByName(smoothing.smoothing_forward(history))
     return production.winner_forward(both, d.winners)
 
@@ -379,8 +379,8 @@ FROM q_forward f JOIN q_by_series b ON b.series_id = f.series_id AND b.model = f
 
 @query("m15_production_forward", PRODUCTION_SQL, rounded=["predicted", *BACKTEST])
 def m15(d: DriverTables):
-    by_series = comparison.metrics_by_series(d.smoothed)
-    return production.production_forward(d.stored_selected, by_series)
+    by_series = comparison.metrics_by_series(smoothing.smoothing_backtest(d.modelled))
+    return production.production_forward(d.modelled, by_series)
 
 
 @query(
@@ -395,7 +395,7 @@ def m15(d: DriverTables):
     rounded=["predicted", "change_vs_latest_pct"],
 )
 def m16(d: DriverTables):
-    history = d.stored_selected
+    history = d.modelled
     return production.forecast_against_latest(durable(smoothing.smoothing_forward(history), "forward"), history)
 
 

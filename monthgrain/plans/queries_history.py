@@ -461,7 +461,7 @@ def m02(d: DriverTables):
     """,
 )
 def m03(d: DriverTables):
-    return splits.slice_origins(d.stored_selected, splits.rolling_origins(d.stored_selected))
+    return splits.slice_origins(d.modelled, splits.rolling_origins(d.modelled))
 
 
 @query(

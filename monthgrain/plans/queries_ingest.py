@@ -415,8 +415,8 @@ def n10(d: DriverTables):
     f"SELECT model, forecast_policy, count(*) AS rows FROM ({PRODUCTION_SQL}) GROUP BY ALL",
 )
 def q15(d: DriverTables):
-    by_series = comparison.metrics_by_series(d.smoothed)
-    forecasts = durable(production.production_forward(d.stored_selected, by_series), "forward")
+    by_series = comparison.metrics_by_series(smoothing.smoothing_backtest(d.modelled))
+    forecasts = durable(production.production_forward(d.modelled, by_series), "forward")
     served = store.production_gate(forecasts)
     return served.groupBy("model", "forecast_policy").agg(F.count(F.lit(1)).alias("rows"))
 
@@ -438,17 +438,17 @@ QUICK = pooled.Boosting(trees=10)
 
 @query("m08_pooled_boost_backtest")
 def m08(d: DriverTables):
-    return pooled.boosted_backtest(d.stored_selected, QUICK, n_origins=2)
+    return pooled.boosted_backtest(d.modelled, QUICK, n_origins=2)
 
 
 @query("m12_boost_forward")
 def m12(d: DriverTables):
-    return pooled.boosted_forward(d.stored_selected, QUICK)
+    return pooled.boosted_forward(d.modelled, QUICK)
 
 
 @query("m13_all_model_forward")
 def m13(d: DriverTables):
-    history = d.stored_selected
+    history = d.modelled
     rows = durable(
         comparison.union_loose(
             [seasonal_naive.naive_forward(history), smoothing.smoothing_forward(history), pooled.boosted_forward(history, QUICK)]
