@@ -329,16 +329,19 @@ SHOCKED_SQL = historical_sql(
 )
 
 
-@query(
-    "n08_shock_injection_recovery",
-    f"""
+RECOVERY_SQL = f"""
     SELECT 'synthetic_injection' AS evaluation, CASE WHEN shock_value > 0 THEN 'positive_shock' ELSE 'negative_shock' END AS scenario,
            base_series AS series_id, metric, shock_value, true AS expected_anomaly, historical_is_anomaly AS detected_anomaly,
            CASE WHEN shock_value > 0 THEN 'high' ELSE 'low' END AS expected_direction, historical_direction AS observed_direction,
            historical_severity AS severity, historical_score AS score,
            historical_is_anomaly AND historical_direction = CASE WHEN shock_value > 0 THEN 'high' ELSE 'low' END AS passed
     FROM ({SHOCKED_SQL}) WHERE newest
-    """,
+    """
+
+
+@query(
+    "n08_shock_injection_recovery",
+    RECOVERY_SQL,
     rounded=["score"],
 )
 def n08(d: DriverTables):
@@ -374,7 +377,18 @@ def _evaluation_table(d: DriverTables):
     return evaluation_table(d.stored_panel, historical, *_window())
 
 
-@query("t06_concat_evaluations")
+@query(
+    "t06_concat_evaluations",
+    f"""
+    SELECT * FROM (
+      WITH shocked AS (SELECT * FROM ({SHOCKED_SQL}) WHERE newest)
+      SELECT *, 'synthetic_injection' AS evaluation_group FROM ({RECOVERY_SQL})
+      UNION ALL BY NAME SELECT *, 'threshold_sensitivity' AS evaluation_group FROM ({SWEEP_SQL})
+      UNION ALL BY NAME SELECT *, 'transition_period' AS evaluation_group FROM ({RATES_SQL})
+    )
+    """,
+    rounded=["score", "injection_recovery_rate", "background_alert_rate", "statistical_anomaly_rate", "dashboard_alert_rate"],
+)
 def t06(d: DriverTables):
     return _evaluation_table(d)
 

@@ -246,20 +246,32 @@ def s10(d: DriverTables):
     return rows.groupBy("source_snapshot").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("q07_lineage_checks")
+@query(
+    "q07_lineage_checks",
+    _checks_sql(
+        f"""SELECT count(*) FILTER (f.file_name IS NULL) AS raw_file_known, count(*) FILTER (f.year IN (1996, 1997)) AS metadata_valid,
+        count(*) FILTER (f.year = 1996) AS timestamp_matches,
+        count(*) FILTER (f.year = 1996 OR f.level <> s.level) AS dataset_matches,
+        count(*) FILTER (f.year = 1996 OR (f.year >= 2001) <> s.provisional) AS provisional_matches
+        FROM (SELECT DISTINCT 'rental_bond_' || geography_level || '_' || year(period_date) || '0101T000000Z.csv' AS file_name,
+                     geography_level AS level, year(period_date) >= 2001 AS provisional FROM q_clean WHERE location_id > 0) s
+        LEFT JOIN {FILES_SQL} f ON f.file_name = s.file_name""",
+        ["raw_file_known", "metadata_valid", "timestamp_matches", "dataset_matches", "provisional_matches"],
+    ),
+)
 def q07(d: DriverTables):
-    files = _snapshot_files(d).where("year <> 1996 and year <> 1997")
+    files = _snapshot_files(d)
     known = snapshots.attach_metadata(files, _sidecars(files))
-    rows = d.clean.where(F.col("location_id") > 0).withColumn("year", F.year("period_date"))
-    staged = rows.where("year <> 1996 and year <> 1997").select(
-        F.concat(F.lit("rental_bond_"), "geography_level", F.lit("_"), F.col("year").cast("string"), F.lit("0101T000000Z.csv")).alias(
+    year = F.year("period_date")
+    staged = d.clean.where(F.col("location_id") > 0).select(
+        F.concat(F.lit("rental_bond_"), "geography_level", F.lit("_"), year.cast("string"), F.lit("0101T000000Z.csv")).alias(
             "source_snapshot"
         ),
         "geography_level",
         F.lit(SEEN_AT).alias("retrieved_at_utc"),
-        (F.col("year") >= 2001).alias("is_provisional"),
+        (year >= 2001).alias("is_provisional"),
     )
-    return staging.lineage_checks(staged, known)
+    return staging.lineage_checks(staged, known).drop("details")
 
 
 # ---- ledger and upserts ---------------------------------------------------------------------------------
