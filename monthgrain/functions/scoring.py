@@ -42,14 +42,12 @@ def percent_change(now: Column, before: Column) -> Column:
 # ---- order statistics of a short sorted array -----------------------------------------------
 
 
-def sorted_quantile(values: Column, q: float) -> Column:
-    """Linear-interpolation quantile of an ascending array."""
-    place = (F.size(values) - 1) * F.lit(float(q))
-    low = F.floor(place)
-    share = place - low
-    at_low = F.get(values, low.cast("int"))
-    at_high = F.get(values, F.ceil(place).cast("int"))
-    return at_low * (1.0 - share) + at_high * share
+def sorted_quantile(values: str, q: float) -> Column:
+    """Linear-interpolation quantile of the ascending array column ``values``."""
+    place = f"((size({values}) - 1) * {float(q)}D)"
+    at = lambda rounded: f"get({values}, int({rounded}{place}))"
+    share = f"({place} - floor{place})"
+    return F.expr(f"{at('floor')} * (1.0D - {share}) + {at('ceil')} * {share}")
 
 
 def with_robust_baseline(df, values: str, minimum: int, median: str, mad: str, iqr: str):
@@ -60,11 +58,11 @@ def with_robust_baseline(df, values: str, minimum: int, median: str, mad: str, i
     """
     ordered = F.when(F.size(values) >= minimum, F.sort_array(F.col(values)))
     df = df.withColumn(values, ordered)
-    low, middle, high = (sorted_quantile(F.col(values), q) for q in (0.25, 0.5, 0.75))
+    low, middle, high = (sorted_quantile(values, q) for q in (0.25, 0.5, 0.75))
     df = df.withColumns({median: middle, iqr: high - low})
     spread = F.sort_array(F.transform(F.col(values), lambda x: F.abs(x - F.col(median))))
     kept = [c for c in df.columns if c != values]
-    return df.withColumn(values, spread).select(*kept, sorted_quantile(F.col(values), 0.5).alias(mad))
+    return df.withColumn(values, spread).select(*kept, sorted_quantile(values, 0.5).alias(mad))
 
 
 def scale_method(mad: Column, iqr: Column) -> Column:
