@@ -46,3 +46,18 @@ def test_exchange_budget(spark, name, exchanges):
 @pytest.mark.parametrize("name", ["n06_consolidate", "v03_evaluate_policies", "x03_cross_source_verdict", "s06_latest_snapshot"])
 def test_queries_run_on_the_smallest_tables(spark, name):
     assert entry.queries()[name](spark, SF).count() >= 0
+
+
+@present
+def test_result_does_not_depend_on_broadcasting(spark):
+    """With no side small enough to broadcast, customers meet orders in a sort-merge join."""
+    build = entry.queries()["n01_historical_anomalies"]
+    usual = sorted(map(str, build(spark, SF).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = build(spark, SF)
+        plan = executed(df)
+        assert "SortMergeJoin [o_custkey" in plan and "Broadcast" not in plan
+        assert sorted(map(str, df.collect())) == usual
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
