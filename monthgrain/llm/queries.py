@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from monthgrain.llm import quality_rules, url_filter
+from monthgrain.llm import packing, quality_rules, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,3 +79,8 @@ SELECT page_id, host, path, hits.rule AS rule, coalesce(v, 'allow') AS verdict F
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(url_filter.RULES), url_filter.RULE_SCHEMA)
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op8_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
