@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from monthgrain.llm import packing, quality_rules, url_filter
+from monthgrain.llm import packing, quality_rules, url_filter, warc
+from monthgrain.llm.work import Work
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +85,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first_id FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to FROM f
+"""
+
+
+@query("op2_warc", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.captures(table(spark, sf_dir, "pages"), Work(spark, "warc"), with_payload=False)
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
