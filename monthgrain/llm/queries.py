@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from monthgrain.llm import packing, quality_rules, url_filter, warc
+from monthgrain.llm import packing, pii, quality_rules, url_filter, warc
 from monthgrain.llm.work import Work
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest,
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.captures(table(spark, sf_dir, "pages"), Work(spark, "warc"), with_payload=False)
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))

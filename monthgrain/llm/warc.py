@@ -239,7 +239,10 @@ def captures(pages: DataFrame, work: Work, with_payload: bool = True, records_pe
         F.first("response.payload_bytes").alias("original_bytes"),
         F.first("response.payload_digest").alias("original_digest"),
     )
-    seen = flat.join(originals, "original_id", "left")
+    # responses need no look-up: only revisits meet the originals, so their lack of a reference is no hot key
+    revisits = flat.filter("response.record_type = 'revisit'").join(originals, "original_id", "left")
+    plain = flat.filter("response.record_type = 'response'")
+    seen = revisits.unionByName(plain, allowMissingColumns=True)
     return seen.select(
         "page_id",
         F.coalesce("original_bytes", "response.payload_bytes").alias("payload_bytes"),
