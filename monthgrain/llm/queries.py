@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from monthgrain.llm import packing, pii, quality_rules, url_filter, warc
+from monthgrain.llm import minhash_dedup, packing, pii, quality_rules, url_filter, warc
 from monthgrain.llm.work import Work
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_minhash_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return minhash_dedup.near_duplicates(docs, Work(spark, "minhash"), minhash_dedup.CONTRACT)
