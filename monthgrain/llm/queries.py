@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from monthgrain.llm import minhash_dedup, packing, pii, quality_rules, url_filter, warc
+from monthgrain.llm import minhash_dedup, packing, pii, quality_rules, suffix_dedup, url_filter, warc
 from monthgrain.llm.work import Work
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return minhash_dedup.near_duplicates(docs, Work(spark, "minhash"), minhash_dedup.CONTRACT)
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"), Work(spark, "suffix"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,9 @@ class Work:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(self.path(name))
+        # the table stands in for its shuffles now: let Spark's cleaner drop their files
+        gc.collect()
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
