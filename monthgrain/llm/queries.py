@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from monthgrain.llm import minhash_dedup, packing, pii, quality_rules, suffix_dedup, url_filter, warc
+from monthgrain.llm import minhash_dedup, nn_descent, packing, pii, quality_rules, suffix_dedup, url_filter, warc
 from monthgrain.llm.work import Work
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_suffix_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"), Work(spark, "suffix"))
+
+
+@query("op4_nn_descent")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, Work(spark, "nn_descent"))
