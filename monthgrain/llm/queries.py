@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from monthgrain.llm import minhash_dedup, nn_descent, packing, pii, quality_rules, suffix_dedup, url_filter, warc
+from monthgrain.llm import minhash_dedup, nn_descent, packing, pii, quality_rules, sentencepiece_viterbi, suffix_dedup, url_filter, warc
 from monthgrain.llm.work import Work
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_nn_descent")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, Work(spark, "nn_descent"))
+
+
+@query("op9_sentencepiece")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_viterbi.encode(docs, keep=["doc_id", "text"])
+    back = sentencepiece_viterbi.decode(coded, out="decoded")
+    same = F.translate("text", sentencepiece_viterbi.SPACE, " ").eqNullSafe(F.col("decoded"))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
