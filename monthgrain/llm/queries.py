@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from monthgrain.llm import minhash_dedup, nn_descent, packing, pii, quality_rules, sentencepiece_viterbi, suffix_dedup, url_filter, warc
+from monthgrain.llm import (
+    kneser_ney,
+    minhash_dedup,
+    nn_descent,
+    packing,
+    pii,
+    quality_rules,
+    sentencepiece_viterbi,
+    suffix_dedup,
+    url_filter,
+    warc,
+)
 from monthgrain.llm.work import Work
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +141,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = sentencepiece_viterbi.decode(coded, out="decoded")
     same = F.translate("text", sentencepiece_viterbi.SPACE, " ").eqNullSafe(F.col("decoded"))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return kneser_ney.score(docs, labels, Work(spark, "kneser_ney"))
