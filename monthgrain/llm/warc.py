@@ -209,11 +209,11 @@ def assemble(records: DataFrame) -> DataFrame:
     part = F.struct("record_id", "target_uri", "headers", "payload_bytes", "payload")
     parts = other.groupBy("record_id", "record_type").agg(F.first(part).alias("part"), F.first("concurrent_to").alias("names"))
     named = parts.select("record_id", "record_type", "part", F.explode("names").alias("main_id"))
-    requests = named.filter("record_type = 'request'")
     # a main record may name its parts, and metadata may name the request instead of the main record
     by_main = mains.select(F.explode("names").alias("record_id"), F.col("record_id").alias("main_id"))
     turned = parts.join(by_main, "record_id").select("record_id", "record_type", "part", "main_id")
-    request_main = requests.select(F.col("record_id").alias("main_id"), F.col("main_id").alias("of"))
+    asked = named.unionByName(turned).filter("record_type = 'request'").join(mains.select(F.col("record_id").alias("main_id")), "main_id")
+    request_main = asked.select(F.col("record_id").alias("main_id"), F.col("main_id").alias("of")).distinct()
     over = named.filter("record_type = 'metadata'").join(request_main, "main_id")
     links = named.unionByName(turned).unionByName(over.select("record_id", "record_type", "part", F.col("of").alias("main_id")))
     # of several requests or metadata records of one capture, the one with the smallest identifier

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,8 @@ class Work:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
-        self.root = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        plain = re.sub(r"[^A-Za-z0-9_-]", "-", label)  # a path, not a pattern
+        self.root = f"{shared_root(spark)}/{plain}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
