@@ -47,11 +47,9 @@ def _series_arrays(history: DataFrame, season: int) -> DataFrame:
     """One row per series with its values in month order (bounded by the calendar), checked.
 
     The explicit partition count keeps adaptive coalescing from folding many series in one task: the
-    fit is compute-bound, while coalescing looks at bytes only. It follows the cores of the cluster.
+    fit is compute-bound, while coalescing looks at bytes only. It is the session's number of shuffle partitions.
     """
-    spark = history.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    tasks = max(cores, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores))
+    tasks = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = history.repartition(tasks, "series_id").groupBy("series_id").agg(
         *[F.min_by(c, "period_date").alias(c) for c in SERIES_ATTRS],
         F.sort_array(F.collect_list(F.struct("period_date", "value"))).alias("_rows"),

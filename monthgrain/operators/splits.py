@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from monthgrain.contracts import HORIZON, MIN_HISTORY_MONTHS, N_ORIGINS, REQUIRED_RUN_MONTHS, require_columns
@@ -19,14 +21,22 @@ def select_series(panel: DataFrame, catalog: DataFrame) -> DataFrame:
     return kept.where(F.col("period_date") >= F.col("continuous_start")).select(*panel.columns)
 
 
-def select_trailing_runs(panel: DataFrame, required_months: int = REQUIRED_RUN_MONTHS) -> DataFrame:
-    """Same rows as :func:`select_series` with the panel's own catalog, in one pass.
+def complete_months(panel: DataFrame, before: dt.date | None) -> DataFrame:
+    """Rows of months before ``before``, so that all series end in the same, finished month; all rows without it."""
+    return panel if before is None else panel.where(F.col("period_date") < F.lit(before))
+
+
+def select_trailing_runs(
+    panel: DataFrame, required_months: int = REQUIRED_RUN_MONTHS, before: dt.date | None = None
+) -> DataFrame:
+    """Same rows as :func:`select_series` with the panel's own catalog, in one pass; ``before`` as in :func:`complete_months`.
 
     A month belongs to the trailing run when its distance from the last month equals its place counted
     from the end. Everything is a window over the series, so no catalog is built, nothing is joined back,
     and the operators that follow keep the partitioning.
     """
     require_columns(panel, ("series_id", "period_date", "value"), "panel")
+    panel = complete_months(panel, before)
     everything = whole_series()
     back = F.max(month_number(F.col("period_date"))).over(everything) - month_number(F.col("period_date"))
     placed = without_duplicated_series(panel).withColumn(

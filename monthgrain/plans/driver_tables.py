@@ -8,6 +8,7 @@ order of addition.
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -20,8 +21,6 @@ from monthgrain.operators.panel import monthly_panel
 from monthgrain.operators.residual_anomalies import detect_residual, practical_residual
 from monthgrain.session import durable
 
-# the last calendar month of the tables holds a single day
-HISTORY_END = "2001-08-01"
 PROVISIONAL_FROM = "2001-05-01"
 PRICE_SCALE = 500
 # authority ids are offset so that the fixed list of duplicated series meets some of them
@@ -62,9 +61,9 @@ class DriverTables:
         )
 
     def _by_nation(self, orders: DataFrame) -> DataFrame:
-        """Order count and exact price total per month and nation: the only pass over ``orders``."""
+        """Order count and exact price total per month and nation of all orders: the only pass over ``orders``."""
         customer = self.table("customer").select("c_custkey", "c_nationkey")
-        kept = orders.where(F.col("o_orderdate") < F.lit(HISTORY_END).cast("timestamp_ntz")).select(
+        kept = orders.select(
             "o_custkey",
             F.trunc(F.col("o_orderdate").cast("date"), "month").alias("period_date"),
             F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
@@ -158,6 +157,15 @@ class DriverTables:
 
     # ---- forecasting -------------------------------------------------------------------
 
+    @cached_property
+    def complete_before(self) -> dt.date | None:
+        """First day of the month that the newest order leaves unfinished; forecasting needs months before it.
+
+        One column of ``orders`` is reduced to its maximum; everything descriptive keeps all months.
+        """
+        newest = self.table("orders").agg(F.max("o_orderdate").alias("d")).first()["d"]
+        return (newest.date() + dt.timedelta(days=1)).replace(day=1) if newest else None
+
     @cached_property
     def catalog(self) -> DataFrame:
         return quality.series_catalog(self.stored_panel)
@@ -165,12 +173,12 @@ class DriverTables:
     @cached_property
     def selected(self) -> DataFrame:
         """Modelled rows, found in the same window pass that later operators partition by."""
-        return splits.select_trailing_runs(self.panel)
+        return splits.select_trailing_runs(self.panel, before=self.complete_before)
 
     @cached_property
     def modelled(self) -> DataFrame:
         """The same rows from the stored panel, for queries that read them in several branches."""
-        return splits.select_trailing_runs(self.stored_panel)
+        return splits.select_trailing_runs(self.stored_panel, before=self.complete_before)
 
     @cached_property
     def naive(self) -> DataFrame:

@@ -66,11 +66,10 @@ SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS period_date, n_nationke
        CAST(o_totalprice AS DECIMAL(18, 2)) AS price
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
      JOIN region ON n_regionkey = r_regionkey
-WHERE o_orderdate < TIMESTAMP '2001-08-01'
 """
 block("q_orders", ORDERS)
 block("q_clean", WIDE.format(src="q_orders"))
-block("q_sold", ORDERS + " AND o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+block("q_sold", ORDERS + " WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 block(
     "q_market",
     f"""
@@ -94,17 +93,12 @@ WHERE geography_level IN ('region', 'territorial_authority') AND location_id NOT
 )
 
 # ---- coverage and selection ------------------------------------------------------------------
-block(
-    "q_runs",
-    """
+RUNS = """
 SELECT *, datediff('month', period_date, max(period_date) OVER (PARTITION BY series_id)) AS back,
        row_number() OVER (PARTITION BY series_id ORDER BY period_date DESC) - 1 AS place
-FROM q_panel
-""",
-)
-block(
-    "q_catalog",
-    """
+FROM {src}
+"""
+CATALOG = """
 SELECT *, n_observations / expected_observations AS completeness_rate,
        expected_observations - n_observations AS missing_months,
        continuous_months >= 77 AND run_nulls = 0 AS eligible_for_forecasting
@@ -116,10 +110,18 @@ FROM (
          min(period_date) FILTER (back = place) AS continuous_start,
          count(*) FILTER (back = place) AS continuous_months,
          count(*) FILTER (back = place AND value IS NULL) AS run_nulls
-  FROM q_runs GROUP BY ALL
+  FROM {src} GROUP BY ALL
 )
-""",
+"""
+block("q_runs", RUNS.format(src="q_panel"))
+block("q_catalog", CATALOG.format(src="q_runs"))
+# months that the newest order date has left behind
+block(
+    "q_full",
+    "SELECT * FROM q_panel WHERE period_date < (SELECT date_trunc('month', max(o_orderdate) + INTERVAL 1 DAY) FROM orders)",
 )
+block("q_full_runs", RUNS.format(src="q_full"))
+block("q_full_catalog", CATALOG.format(src="q_full_runs"))
 block(
     "q_quality",
     """
@@ -135,8 +137,8 @@ FROM (
 block(
     "q_selected",
     f"""
-SELECT q_panel.* FROM q_panel JOIN q_catalog USING (series_id)
-WHERE eligible_for_forecasting AND q_panel.period_date >= continuous_start
+SELECT q_full.* FROM q_full JOIN q_full_catalog USING (series_id)
+WHERE eligible_for_forecasting AND q_full.period_date >= continuous_start
   AND series_id NOT IN ({sql_list(C.duplicated_series_ids())})
 """,
 )

@@ -444,7 +444,8 @@ def q14(d: DriverTables):
 
 @query("m01_select_forecasting_series", "SELECT series_id, metric, period_date, value FROM q_selected")
 def m01(d: DriverTables):
-    chosen = splits.select_series(d.stored_panel, d.catalog)
+    panel = splits.complete_months(d.stored_panel, d.complete_before)
+    chosen = splits.select_series(panel, quality.series_catalog(panel))
     return chosen.select("series_id", "metric", "period_date", "value")
 
 

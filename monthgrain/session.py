@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,18 +24,12 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "month
 
 
 def durable_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the session's checkpoint directory.
+    """Shared folder for intermediate tables: the checkpoint folder of the session, else its warehouse folder.
 
-    Only a local session without that setting may fall back to a temporary folder.
+    Both are places that every executor of a cluster reaches; nothing goes to a machine's own temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="monthgrain-")
-    spark.sparkContext.setCheckpointDir(root)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    return (configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_durable").rstrip("/")
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
