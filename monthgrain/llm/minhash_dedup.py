@@ -9,13 +9,14 @@ hash, the register keeps the leading-zero count and the next ``MANTISSA`` bits o
 3. Stars: in every bucket of equal keys the smallest class is compared with each other one, never all with all.
 4. A pair is estimated from its registers, corrected for chance collisions, and dropped only if ``SIGMAS`` standard
    deviations under the threshold; the rest is confirmed on the full sets of the texts.
-5. Rest: buckets whose members are still in different components are finished.  Pairs of members of different components are
-   compared in buckets of up to ``SMALL`` members; larger ones are split by a further shared band first, up to ``LEVELS`` bands,
-   and what is left after that is compared too, whatever its size.  Nothing is capped.
+5. Rest: buckets whose members are still in different components are finished.  In buckets of up to ``SMALL`` members the pairs of
+   members of different components are compared.  Members of larger ones go through an exact prefix join: shingles are
+   ordered by their frequency among them, two sets over the threshold must share one of their rarest few, and the places of
+   that shingle in both bound what they can still share.  The bound is applied to (size, place) signatures per shingle before
+   any documents are paired, so a line or passage that very many texts hold pairs none of them.  Nothing is capped.
 
 With ``bands`` x ``rows`` registers, two documents at the threshold *t* share no band with chance (1 - t**rows)**bands: 2e-10
-at 0.85 with 38 x 5, 1e-11 at 0.8 with 48 x 4; sharing fewer than three of 38 has chance 1e-7, which matters in overfull
-buckets only.
+at 0.85 with 38 x 5, 1e-11 at 0.8 with 48 x 4.
 
 Defined results: null or empty texts have no shingles and are linked with nothing; texts with fewer words than a shingle have
 one, their whole sequence; a null id never names a component: its row gets the component of its class or null, and is not kept;
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from monthgrain.llm import textkernel as tk
 from monthgrain.llm.components import components
@@ -40,8 +41,7 @@ MANTISSA = 10
 EMPTY = 0xFFFF
 SIGMAS = 6
 SMALL = 32
-LEVELS = 3
-SKETCH = "doc_id long, n_shingles long, c binary, registers binary"
+SKETCH = "doc_id long, text_hash long, n_shingles long, c binary, registers binary"
 _U = np.uint64
 
 
@@ -140,18 +140,19 @@ def estimate(left: np.ndarray, right: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
 def _sketched(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in tk.blocks(batches, "text"):
-            of, value = tk.shingle_sets(*tk.flat(block.column(1)), settings.shingle)
+            of, value = tk.shingle_sets(*tk.flat(block.column(2)), settings.shingle)
             n = block.num_rows
             rows = sketch(of, value, n, settings.registers)
             count = np.bincount(of, minlength=n)
             yield pa.RecordBatch.from_arrays(
                 [
                     block.column(0),
+                    block.column(1),
                     pa.array(count.astype(np.int64)),
                     digests(of, value, n),
                     pa.array([r.tobytes() for r in rows], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "c", "registers"],
+                ["doc_id", "text_hash", "n_shingles", "c", "registers"],
             )
 
     return run
@@ -221,19 +222,39 @@ def _texts(settings: Settings):
     return run
 
 
+def _sets(settings: Settings):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in tk.blocks(batches, "text"):
+            of, value = tk.shingle_sets(*tk.flat(block.column(0)), settings.shingle)
+            count = np.bincount(of, minlength=block.num_rows)
+            ends = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(value.view(np.int64)))
+            columns = [digests(of, value, block.num_rows), pa.array(count.astype(np.int32)), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["c", "n", "shingles"])
+
+    return run
+
+
 class _Linker:
     """Candidate pairs to confirmed links, for one table of documents."""
 
     def __init__(self, docs: DataFrame, settings: Settings, work: Work) -> None:
         self.settings, self.work = settings, work
         self.docs = docs
-        self.members = work.save(docs.mapInArrow(_sketched(settings), SKETCH), "sketch")
+        hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+        self.members = work.save(hashed.mapInArrow(_sketched(settings), SKETCH), "sketch")
         full = self.members.filter("n_shingles > 0 and doc_id is not null")
         classes = full.groupBy("c").agg(
             F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")
         )
         self.classes = work.save(classes, "classes")
 
+    def _texts(self, needed: DataFrame) -> DataFrame:
+        """Texts under the smallest id of each class in ``needed`` (c); who uses them takes the digest again, so that another
+        text under the same id cannot stand in."""
+        ids = self.classes.join(needed, "c", "left_semi").select("doc_id")
+        return self.docs.filter("doc_id is not null").join(ids, "doc_id", "left_semi").select("text")
+
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """Confirmed pairs (a, b) of classes."""
         s, classes, work = self.settings, self.classes, self.work
@@ -241,10 +262,7 @@ class _Linker:
         seen = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b", "n_a", "n_b")
         likely = work.save(seen.mapInArrow(_likely(s), "a binary, b binary"), f"{name}-likely")
         needed = likely.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        ids = classes.join(needed, "c", "left_semi").select("doc_id", F.col("c").alias("wanted"))
-        wanted = self.docs.filter("doc_id is not null").join(ids.select("doc_id"), "doc_id", "left_semi").select("text")
-        # the digest again, so that another text under the same id cannot stand in
-        texts = wanted.mapInArrow(_texts(s), "c binary, text string").join(needed, "c", "left_semi")
+        texts = self._texts(needed).mapInArrow(_texts(s), "c binary, text string").join(needed, "c", "left_semi")
         texts = work.save(texts, f"{name}-texts")
         text = lambda x: texts.select(F.col("c").alias(x), F.col("text").alias(f"text_{x}"))
         both = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
@@ -262,49 +280,94 @@ class _Linker:
         first = self.links(stars, "star")
         labels = components(first, work, "star-components")
         rest = self._rest(members, labels)
-        tried = members.select(F.col("star").alias("a"), F.col("c").alias("b")).distinct()
-        rest = work.save(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+        rest = work.save(rest.join(stars, ["a", "b"], "left_anti"), "rest")
         if rest.isEmpty():
             return labels
         return components(first.unionByName(self.links(rest, "rest")), work, "all-components")
 
     def _rest(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs (a < b) of bucket members in different components, after splitting the large buckets."""
+        """Pairs (a < b) of bucket members in different components that may be similar."""
         work = self.work
         named = labels.withColumnsRenamed({"node": "c"})
-        rows = members.select("key", "c").join(named, "c", "left").select("key", "c", F.coalesce("label", "c").alias("label"))
-        rows = work.save(rows, "labelled")
-        every, pairs = rows, None
-        for level in range(1, LEVELS + 1):
-            state = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y"))
-            mixed = rows.join(state.filter("x != y").select("key", "size"), "key")
-            mixed = work.save(mixed, f"mixed-{level}")
-            ready = mixed if level == LEVELS else mixed.filter(F.col("size") <= SMALL)
-            a = ready.select("key", F.col("c").alias("a"), F.col("label").alias("label_a"))
-            b = ready.select("key", F.col("c").alias("b"), F.col("label").alias("label_b"))
-            new = a.join(b, "key").filter("a < b and label_a != label_b").select("a", "b").distinct()
-            pairs = new if pairs is None else pairs.unionByName(new)
-            large = mixed.filter(F.col("size") > SMALL)
-            if level == LEVELS or large.isEmpty():
-                break
-            # a further band that the members share; only keys after the last one, so each set of bands comes once
-            other = every.select("c", F.col("key").alias("next"))
-            last = F.col("last") if level > 1 else F.col("key")
-            deeper = large.join(other, "c").filter(F.col("next") > last)
-            rows = deeper.select(F.xxhash64("key", "next").alias("key"), "c", "label", F.col("next").alias("last"))
-        return pairs.distinct()
+        rows = members.select("key", "size", "c").join(named, "c", "left")
+        rows = work.save(rows.select("key", "size", "c", F.coalesce("label", "c").alias("label")), "labelled")
+        state = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
+        mixed = work.save(rows.join(state, "key"), "mixed")
+        small = mixed.filter(F.col("size") <= SMALL)
+        a = small.select("key", F.col("c").alias("a"), F.col("label").alias("label_a"))
+        b = small.select("key", F.col("c").alias("b"), F.col("label").alias("label_b"))
+        pairs = a.join(b, "key").filter("a < b and label_a != label_b").select("a", "b")
+        large = work.save(mixed.filter(F.col("size") > SMALL).select("c", "label").distinct(), "large")
+        if large.isEmpty():
+            return pairs.distinct()
+        return pairs.unionByName(self._prefix_pairs(large)).distinct()
+
+    def _prefix_pairs(self, large: DataFrame) -> DataFrame:
+        """Exact candidates among ``large`` (c, label): pairs of other labels that a shared rare shingle allows."""
+        t, work = self.settings.percent, self.work
+        texts = self._texts(large)
+        sets = texts.mapInArrow(_sets(self.settings), "c binary, n int, shingles array<long>")
+        sets = work.save(sets.join(large, "c").dropDuplicates(["c"]), "sets")
+        spread = sets.select("c", "label", "n", F.explode("shingles").alias("shingle"))
+        counted = spread.groupBy("shingle").agg(F.count("*").alias("often"))
+        order = W.partitionBy("c").orderBy("often", "shingle")
+        placed = spread.join(counted, "shingle").withColumn("place", F.row_number().over(order))
+        prefix = F.col("n") - F.ceil(F.col("n") * t / 100) + 1
+        rows = work.save(placed.filter((F.col("place") <= prefix) & (F.col("often") > 1)).drop("often"), "prefixes")
+        kinds = rows.groupBy("shingle", "n", "place").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        side = lambda x: kinds.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "place", "low", "high")))
+        sizes = F.expr(f"100 * least(n_a, n_b) >= {t} * greatest(n_a, n_b)")
+        shared = F.expr(f"(100 + {t}) * (1 + least(n_a - place_a, n_b - place_b)) >= {t} * (n_a + n_b)")
+        once = F.expr("n_a < n_b or n_a = n_b and place_a <= place_b")
+        apart = F.expr("not (low_a = high_a and low_b = high_b and low_a = low_b)")
+        fit = side("a").join(side("b"), "shingle").filter(sizes & shared & once & apart)
+        fit = work.save(fit.select("shingle", "n_a", "place_a", "n_b", "place_b"), "signatures")
+        own = lambda x, y: rows.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "place", "label")), F.col("c").alias(y))
+        met = fit.join(own("a", "x"), ["shingle", "n_a", "place_a"]).join(own("b", "y"), ["shingle", "n_b", "place_b"])
+        met = met.filter("label_a != label_b")
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _grouped(docs: DataFrame, work: Work, settings: Settings) -> DataFrame:
+    """doc_id, text_hash, n_shingles, c and component_id of every row of ``docs`` (doc_id, text)."""
+    linker = _Linker(docs, settings, work)
+    labels = linker.run()
+    members = linker.members.select("doc_id", "text_hash", "n_shingles", "c")
+    full = members.filter("n_shingles > 0").join(labels.withColumnRenamed("node", "c"), "c", "left")
+    full = full.withColumn("label", F.coalesce("label", "c"))
+    least = full.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    found = full.join(least, "label").drop("label")
+    bare = members.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
+    return found.unionByName(bare)
 
 
 def near_duplicates(
     docs: DataFrame, work: Work, settings: Settings = DEFAULT, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable) and kept, one row per document."""
-    linker = _Linker(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), settings, work)
-    labels = linker.run()
-    members = linker.members.select("doc_id", "n_shingles", "c")
-    full = members.filter("n_shingles > 0").join(labels.withColumnRenamed("node", "c"), "c", "left")
-    full = full.select("doc_id", "n_shingles", F.coalesce("label", "c").alias("label"))
-    least = full.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    found = full.join(least, "label").select("doc_id", "n_shingles", "component_id")
-    bare = members.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.unionByName(bare).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    rows = _grouped(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), work, settings)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return rows.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def deduplicate(docs: DataFrame, work: Work, settings: Settings = DEFAULT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with one row left of each component, all columns as they are.
+
+    Rows without words stay.  Of rows that repeat id and text one stays; a row without an id stays if nothing with an id is
+    in its component, one of equal ones.
+    """
+    rows = _grouped(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), work, settings)
+    stays = F.when(F.col("doc_id").isNull(), F.col("component_id").isNull()).otherwise(F.col("doc_id") == F.col("component_id"))
+    stays = work.save(rows.filter(stays | (F.col("n_shingles") == 0)).select("doc_id", "text_hash", "n_shingles", "c"), "stays")
+    names = stays.groupBy("doc_id", "text_hash").agg(F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
+    names = work.save(names.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "n", "copies"), "names")
+    keyed = docs.withColumns({"_id_": F.col(key).cast("long"), "_hash_": F.xxhash64(text)})
+    kept = keyed.join(names.select("_id", "_hash"), F.col("_id_").eqNullSafe(F.col("_id")) & (F.col("_hash_") == F.col("_hash")), "left_semi")
+    again = names.filter("n > 0 and (copies > 1 or _id is null)")
+    if again.isEmpty():
+        return kept.drop("_id_", "_hash_")
+    # few rows: those that repeat another's id and text, or have no id
+    match = F.col("_id_").eqNullSafe(F.col("_id")) & (F.col("_hash_") == F.col("_hash"))
+    alone = kept.join(again.select("_id", "_hash"), match, "left_anti")
+    one = kept.join(again.select("_id", "_hash"), match, "left_semi").dropDuplicates(["_id_", "_hash_"])
+    return alone.unionByName(one).drop("_id_", "_hash_")
