@@ -27,8 +27,11 @@ def period_range(text: Column) -> Column:
 
 
 def whole_number(text: Column) -> Column:
-    """Integer held as text or float; NULL when it is not a number or has a fraction."""
-    number = text.try_cast("double")
+    """Integer held as text or float; NULL when it is not a number or has a fraction.
+
+    Fixed-point, since a double would round whole numbers beyond 2**53.
+    """
+    number = text.try_cast("decimal(38,18)")
     return F.when(number == F.floor(number), number.try_cast("bigint"))
 
 

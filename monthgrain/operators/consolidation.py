@@ -8,7 +8,7 @@ from monthgrain import contracts as C
 from monthgrain.contracts import require_columns
 from monthgrain.functions.scoring import is_true
 from monthgrain.operators.checks import check_table, violation
-from monthgrain.operators.joins import beside, without_duplicated_series
+from monthgrain.operators.joins import beside, checked_join, without_duplicated_series
 
 HISTORICAL_NEEDED = (
     "period_date",
@@ -111,7 +111,10 @@ def coverage(historical: Column, forecast: Column) -> Column:
 
 
 def consolidate(historical: DataFrame, forecast: DataFrame) -> DataFrame:
-    """Left join of the residual detector onto the historical one and the overall verdict per row."""
+    """Left join of the residual detector onto the historical one and the overall verdict per row.
+
+    Each record meets one record at most: a repeated month fails in the historical detector, a repeated residual key here.
+    """
     require_columns(historical, HISTORICAL_NEEDED, "historical anomalies")
     require_columns(forecast, FORECAST_NEEDED, "residual anomalies")
     carried = [c for c in (*FORECAST_NEEDED, *FORECAST_CARRIED) if c in forecast.columns]
@@ -120,7 +123,7 @@ def consolidate(historical: DataFrame, forecast: DataFrame) -> DataFrame:
         .withColumnsRenamed({"forecast_period": "period_date", "metric": "forecast_metric", "model": "forecast_model"})
         .withColumn("has_forecast_record", F.lit(True))
     )
-    joined = historical.join(right, ["series_id", "period_date"], "left")
+    joined = checked_join(historical, right, ["series_id", "period_date"], "left", "residual anomalies")
     mismatch = F.col("forecast_metric") != F.col("metric")
     record = F.when(mismatch, F.raise_error(F.lit("historical and forecast metric differ")).cast("boolean"))
     ha, fa = is_true(F.col("dashboard_alert")), is_true(F.col("forecast_dashboard_alert"))

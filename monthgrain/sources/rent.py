@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from monthgrain.contracts import require_columns
-from monthgrain.functions.parsing import measure, period_range, whole_number
+from monthgrain.functions.parsing import measure, period_range, present_text, whole_number
 from monthgrain.operators.checks import check_table, violation
 
 # Item fields of the published payload and their staging names
@@ -131,9 +131,16 @@ def payload_checks(raw_payloads: DataFrame) -> DataFrame:
 
 
 def typed_rents(staging: DataFrame) -> DataFrame:
-    """Staging text to loadable types; counts and measures may be missing but not malformed."""
+    """Staging text to loadable types.
+
+    Periods and names must be there and well formed, or the job fails; counts and measures may be missing but not malformed.
+    """
     require_columns(staging, STAGING_COLUMNS, "rent staging")
 
+    def needed(value: Column, name: str) -> Column:
+        message = F.lit(f"rent staging column {name} holds a value that cannot be loaded")
+        return F.when(value.isNull(), F.raise_error(message)).otherwise(value).alias(name)
+
     def optional(name: str, convert) -> Column:
         text = F.col(name).cast("string")
         value = convert(text)
@@ -142,11 +149,11 @@ def typed_rents(staging: DataFrame) -> DataFrame:
 
     names = list(STAGING_NAMES.values())
     return staging.select(
-        *[F.col(c).cast("string").try_cast("date").alias(c) for c in ("period_start", "period_end")],
-        "area_definition",
-        F.col("area").alias("area_name"),
-        "dwelling_type",
-        "bedrooms",
+        *[needed(F.col(c).cast("string").try_cast("date"), c) for c in ("period_start", "period_end")],
+        needed(present_text(F.col("area_definition")), "area_definition"),
+        needed(present_text(F.col("area")), "area_name"),
+        needed(present_text(F.col("dwelling_type")), "dwelling_type"),
+        needed(present_text(F.col("bedrooms")), "bedrooms"),
         *[optional(c, whole_number) for c in names[3:6]],
         *[optional(c, measure) for c in names[6:]],
     )

@@ -82,3 +82,8 @@ def test_sorted_quantile_matches_linear_interpolation(spark):
     df = spark.createDataFrame([(data,)], "v array<double>")
     got = df.select(*[scoring.sorted_quantile("v", q) for q in (0.25, 0.5, 0.75)]).first()
     assert np.allclose(list(got), np.quantile(data, [0.25, 0.5, 0.75]))
+
+
+def test_whole_numbers_are_exact(spark):
+    df = spark.createDataFrame([("9007199254740993",), ("12.0",), ("12.5",), ("x",), (None,)], "t string")
+    assert [r[0] for r in df.select(parsing.whole_number(F.col("t"))).collect()] == [9007199254740993, 12, None, None, None]

@@ -16,6 +16,11 @@ from monthgrain.streaming.snapshot_feed import follow_staging
 HEADER = ",".join(bond.RAW_COLUMNS)
 LINES = ["1/07/2026,2,North,10,30,5,500,490,550,450,0.25", "1/07/2026,-1,NA,1,3,0,480,470,500,460,0.5"]
 AT = "2026-08-01T00:00:00+00:00"
+BOND_TABLE = (
+    "period_date date, geography_level string, location_id int, location_name string, bonds_lodged bigint, "
+    "active_bonds bigint, bonds_closed bigint, median_rent decimal(18,4), geometric_mean_rent decimal(18,4), "
+    "upper_quartile_rent decimal(18,4), lower_quartile_rent decimal(18,4), log_std_dev_weekly_rent decimal(18,4)"
+)
 
 
 def write(path, lines, header=HEADER):
@@ -124,6 +129,8 @@ def test_rent_types_allow_missing_but_not_malformed(spark, tmp_path):
     typed = rent.typed_rents(rows.withColumn("bonds_closed", F.lit(None)).withColumn("active_bonds", F.lit("3.0"))).first()
     assert (typed.bonds_lodged, typed.bonds_closed, typed.active_bonds) == (4, None, 3)
     raises_in_job(rent.typed_rents(rows.withColumn("active_bonds", F.lit("3.5"))), "active_bonds")
+    raises_in_job(rent.typed_rents(rows.withColumn("period_start", F.lit("not-a-date"))), "period_start")
+    raises_in_job(rent.typed_rents(rows.withColumn("area", F.lit("  "))), "area_name")
 
 
 # ---- snapshots and lineage ------------------------------------------------------------------------------
@@ -279,12 +286,7 @@ def test_register_keeps_the_first_entry(spark):
 
 def test_arriving_staging_is_loaded_once(spark, tmp_path):
     raw = snapshot(tmp_path / "raw", "2026/07/01", "rental_bond_region_1")
-    schema = (
-        "period_date date, geography_level string, location_id int, location_name string, bonds_lodged bigint, "
-        "active_bonds bigint, bonds_closed bigint, median_rent decimal(18,4), geometric_mean_rent decimal(18,4), "
-        "upper_quartile_rent decimal(18,4), lower_quartile_rent decimal(18,4), log_std_dev_weekly_rent decimal(18,4)"
-    )
-    table = ledger.LoadedTable(spark, str(tmp_path / "clean"), schema, ledger.BOND_KEY)
+    table = ledger.LoadedTable(spark, str(tmp_path / "clean"), BOND_TABLE, ledger.BOND_KEY)
 
     def follow():
         follow_staging(
@@ -303,6 +305,20 @@ def test_arriving_staging_is_loaded_once(spark, tmp_path):
     assert table.versions().count() == 3
 
 
+def test_stream_with_a_new_checkpoint_loses_nothing(spark, tmp_path):
+    table = ledger.LoadedTable(spark, str(tmp_path / "bonds"), BOND_TABLE, ledger.BOND_KEY)
+    raw = snapshot(tmp_path / "raw", "2026/07/01", "rental_bond_region_1")
+    first = staged(spark, raw).coalesce(1)
+    for run, location in (("one", "2"), ("two", "-1")):
+        part = first.where(F.col("location_id") == location)
+        staging.write_staging(part, str(tmp_path / run), "2026-07-01", run)
+        follow_staging(
+            spark, str(tmp_path / run), bond.STAGING_COLUMNS, bond.typed_bonds, table, str(tmp_path / f"marks-{run}")
+        ).awaitTermination()
+    assert {r.location_id: r.bonds_lodged for r in table.read().collect()} == {2: 10, -1: 1}
+    assert {r.load_seq for r in table.versions().collect()} == {0, 1}
+
+
 # ---- products ------------------------------------------------------------------------------------------------
 
 
