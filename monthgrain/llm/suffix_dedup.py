@@ -129,7 +129,7 @@ def _parts(length: int, gram: int):
                             shared = (seed - half, seed + gram) if side == 0 else (seed, seed + gram + length - gram - half)
                             key = tk.range_hash(sums, *(np.array([x]) for x in shared))[0] + _U(side)
                             body = data[begin + a : begin + b - 1 + length].tobytes()
-                            out.append((int(key.view(np.int64)), w["seed"], w["content"], a, b - a, body))
+                            out.append((int(key.view(np.int64)), w["seed"], w["content"], w["n"], a, b - a, body))
                             held += len(body)
                 if held > tk.BLOCK_BYTES:
                     yield _part_batch(out)
@@ -146,11 +146,11 @@ def _seed_of(sums: np.ndarray, window: int, length: int, gram: int) -> int:
     return int(np.argmin(tk.range_hash(sums, at, at + gram) >> _U(32)))
 
 
-PARTS = "key long, seed long, content long, first int, windows int, body binary"
+PARTS = "key long, seed long, content long, n long, first int, windows int, body binary"
 
 
 def _part_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    types = (*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.binary())
     names = [x.split()[0] for x in PARTS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
@@ -159,12 +159,20 @@ FOUND = "seed long, content long, start int, stop int"
 
 
 def _sorted(length: int, shard_bytes: int):
-    """Windows that repeat, as ranges in their segments; input sorted by key."""
+    """Windows that repeat, as ranges in their segments; input sorted by key.
+
+    Equal parts of different segments repeat as a whole; one of each kind goes into the shard, and only if its group holds a
+    part that is still open, one that occurs once.
+    """
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+
+    def ranges(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 4, types)], names)
 
     def shard(rows: list[tuple]) -> pa.RecordBatch:
-        bodies = [np.frombuffer(r[5], np.uint8) for r in rows]
-        size = sum(len(b) + 1 for b in bodies)
-        symbols = np.ones(size, np.uint16)
+        bodies = [np.frombuffer(r[6], np.uint8) for r in rows]
+        symbols = np.ones(sum(len(b) + 1 for b in bodies), np.uint16)
         at, begins = 0, []
         for body in bodies:
             symbols[at : at + len(body)] = body
@@ -174,29 +182,42 @@ def _sorted(length: int, shard_bytes: int):
         flags = repeated_positions(symbols, length)
         out = []
         for begin, r in zip(begins, rows):
-            own = np.concatenate([[0], flags[begin : begin + r[4]].view(np.int8), [0]])
-            step = np.diff(own)
+            step = np.diff(np.concatenate([[0], flags[begin : begin + r[5]].view(np.int8), [0]]))
             for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist()):
-                out.append((r[1], r[2], r[3] + a, r[3] + b - 1 + length))
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        columns = list(zip(*out)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [x.split()[0] for x in FOUND.split(", ")])
+                out.append((r[1], r[2], r[4] + a, r[4] + b - 1 + length))
+        return ranges(out)
+
+    def settle(group: list[tuple], whole: list[tuple]) -> list[tuple]:
+        """What of a group needs the suffix array; the rest is known at once."""
+        if len(group) == 1:
+            return []
+        kinds: dict[bytes, list[tuple]] = {}
+        for r in group:
+            kinds.setdefault(r[6], []).append(r)
+        for same in kinds.values():
+            if len(same) > 1:
+                whole += [(r[1], r[2], r[4], r[4] + r[5] - 1 + length) for r in same if r[3] == 1]
+        open_ends = any(len(same) == 1 and same[0][3] == 1 for same in kinds.values())
+        return [same[0] for same in kinds.values()] if open_ends and len(kinds) > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, rows, held = [], [], 0
+        group, rows, whole, held = [], [], [], 0
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
                 if group and group[0][0] != r[0]:
-                    if len(group) > 1:  # a part alone under its key repeats nothing
-                        rows += group
-                        held += sum(len(x[5]) for x in group)
+                    new = settle(group, whole)
+                    rows += new
+                    held += sum(len(x[6]) for x in new)
                     group = []
                     if held > shard_bytes:
                         yield shard(rows)
                         rows, held = [], 0
+                    if len(whole) > 10_000:
+                        yield ranges(whole)
+                        whole = []
                 group.append(r)
-        if len(group) > 1:
-            rows += group
+        rows += settle(group, whole) if group else []
+        yield ranges(whole)
         if rows:
             yield shard(rows)
 
@@ -218,8 +239,8 @@ def repeated_ranges(docs: DataFrame, key: str, text: str, work: Work, length: in
     copy = F.min(F.struct("k1", "k2", "place", "windows")).alias("copy")
     distinct = work.save(placed.groupBy("seed", "content").agg(F.count("*").alias("n"), copy), "distinct")
     several = distinct.groupBy("seed").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("seed")
-    wanted = distinct.join(several, "seed").select("copy.*", "seed", "content")
-    listed = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "windows", "seed", "content")).alias("wanted"))
+    wanted = distinct.join(several, "seed").select("copy.*", "seed", "content", "n")
+    listed = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "windows", "seed", "content", "n")).alias("wanted"))
     # equal rows share their keys: one of them is enough to cut from
     texts = source.join(listed, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
     parts = work.save(texts.select("text", "wanted").mapInArrow(_parts(length, gram), PARTS), "parts")
