@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from monthgrain.llm import kneser_ney, minhash_dedup, nn_descent, suffix_dedup, warc
 from monthgrain.llm.components import components
 from monthgrain.llm.induced_sort import repeated_positions
+from monthgrain.llm.work import Work
 
 SYLLABLES = "an be co du el fi go ha it jo ka lu mi no op pa".split()
 
@@ -159,7 +160,7 @@ def test_repeated_rows_and_cut_texts(docs, work):
     clean = suffix_dedup.deduplicate(frame, work)
     assert clean.columns == frame.columns
     assert sorted((r.doc_id, r.text) for r in clean.collect()) == [(1, ""), (1, ""), (2, "ac"), (3, "")]
-    assert suffix_dedup.deduplicate(docs([]), work).count() == 0
+    assert suffix_dedup.deduplicate(docs([]), Work(work.spark, "empty")).count() == 0
 
 
 # -- near copies ------------------------------------------------------------------------------------------------------
@@ -209,7 +210,7 @@ def test_one_of_each_group_stays(docs, work):
     clean = minhash_dedup.deduplicate(frame, work)
     assert clean.columns == frame.columns
     assert sorted((r.doc_id or 0, r.text or "") for r in clean.collect()) == [(0, "other"), (4, text), (7, ""), (8, "")]
-    assert minhash_dedup.deduplicate(docs([]), work).count() == 0
+    assert minhash_dedup.deduplicate(docs([]), Work(work.spark, "empty")).count() == 0
 
 
 def test_estimate_is_corrected_for_collisions():
@@ -258,7 +259,7 @@ def test_classifier_parts_prose_from_noise(spark, work):
 def test_classifier_without_trusted_text(docs, spark, work):
     frame, labels = docs(["a b c", None]), spark.createDataFrame([], "doc_id long, quality int")
     assert [r.kept for r in kneser_ney.score(frame, labels, work).collect()] == [True, True]
-    assert kneser_ney.score(docs([]), labels, work).count() == 0
+    assert kneser_ney.score(docs([]), labels, Work(spark, "empty")).count() == 0
 
 
 # -- pipeline ---------------------------------------------------------------------------------------------------------
