@@ -6,7 +6,8 @@ hash, the register keeps the leading-zero count and the next ``MANTISSA`` bits o
 1. Documents with equal sets form one class (128-bit set digest), so exact copies cost one row each and no pair.
 2. Bands of registers are hashed to keys.  Empty registers borrow from the next filled one in a fixed random order, which
    gives every register the collision chance of the Jaccard similarity also for short texts.
-3. Stars: in every bucket of equal keys the smallest class is compared with each other one, never all with all.
+3. Stars: in every bucket of equal keys the smallest class is compared with each other one, never all with all; in buckets
+   of more than ``SMALL`` members three more classes are.
 4. A pair is estimated from its registers, corrected for chance collisions, and dropped only if ``SIGMAS`` standard
    deviations under the threshold; the rest is confirmed on the full sets of the texts.
 5. Rest: buckets whose members are still in different components are finished.  In buckets of up to ``SMALL`` members the pairs of
@@ -276,7 +277,7 @@ class _Linker:
         keys = self.classes.select("c", "registers").mapInArrow(_banded(s), "key long, c binary").distinct()
         shared = keys.groupBy("key").agg(F.min("c").alias("star"), F.count("*").alias("size")).filter("size > 1")
         members = work.save(keys.join(shared, "key"), "buckets")
-        stars = members.filter("c != star").select(F.col("star").alias("a"), F.col("c").alias("b")).distinct()
+        stars = work.save(self._stars(members), "stars")
         first = self.links(stars, "star")
         labels = components(first, work, "star-components")
         rest = self._rest(members, labels)
@@ -285,6 +286,18 @@ class _Linker:
             return labels
         return components(first.unionByName(self.links(rest, "rest")), work, "all-components")
 
+    def _stars(self, members: DataFrame) -> DataFrame:
+        """Pairs (a < b) of every bucket member with the bucket's star; large buckets have three more stars.
+
+        A group of near copies can hold members just under the threshold to one star but over it to another.
+        """
+        by = F.xxhash64("c")
+        large = members.filter(F.col("size") > SMALL)
+        more = large.groupBy("key").agg(F.array(F.max("c"), F.min_by("c", by), F.max_by("c", by)).alias("stars"))
+        again = large.join(more, "key").select(F.explode("stars").alias("star"), "c")
+        both = members.select("star", "c").unionByName(again).filter("star != c")
+        return both.select(F.least("star", "c").alias("a"), F.greatest("star", "c").alias("b")).distinct()
+
     def _rest(self, members: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs (a < b) of bucket members in different components that may be similar."""
         work = self.work
