@@ -29,7 +29,10 @@ from monthgrain.llm import textkernel as tk
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 1_500_000
+#: Code points whose neighbourhoods are kept as a table; the others are searched.
+COMMON = 1024
+IDS_TOGETHER = 200_000
 #: Words of one length that advance together.
 TOGETHER = 4096
 _U = np.uint64
@@ -77,9 +80,20 @@ class Pieces:
         self.scores = np.array([sp.get_score(i) for i in normal], np.float64)[order]
         self.unknown = float(self.scores.min()) - UNKNOWN_PENALTY
         self.longest = max(len(self.texts[i]) for i in normal)
-        #: neighbours that some piece holds together, and the characters that start one: elsewhere a text may be cut
-        self.joined = {t[k : k + 2] for t in (self.texts[i] for i in normal) for k in range(len(t) - 1)}
-        self.known: dict[str, np.ndarray] = {}
+        # neighbours that some piece holds together; elsewhere a text may be cut
+        pairs = {(ord(t[k]), ord(t[k + 1])) for t in (self.texts[i] for i in normal) for k in range(len(t) - 1)}
+        self.joined = np.sort(np.array([x << 21 | y for x, y in pairs], np.int64))
+        self.common = np.zeros((COMMON, COMMON), bool)
+        for x, y in pairs:
+            if x < COMMON and y < COMMON:
+                self.common[x, y] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = np.zeros(0, _U)
+        self.begin = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
+        self.found = np.zeros(0, np.int32)
 
     @staticmethod
     def key(text: str) -> int:
@@ -129,30 +143,60 @@ class Pieces:
                     out[w].extend(self.byte_id[b] for b in chr(int(words[w, s])).encode("utf-8"))
         return [np.array(x, np.int32) for x in out]
 
-    def learn(self, words: list[str]) -> None:
-        """Encode distinct words, equal lengths together."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        by_length: dict[int, list[str]] = {}
-        for word in words:
-            by_length.setdefault(len(word), []).append(word)
-        for length, same in by_length.items():
-            together = max(1, min(TOGETHER, (1 << 22) // length))
+    def _learn(self, keys: np.ndarray, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Search new distinct words, equal lengths together, and add them to the table."""
+        length = end - start
+        ids: list[np.ndarray] = []
+        order: list[np.ndarray] = []
+        for n in np.unique(length).tolist():
+            same = np.flatnonzero(length == n)
+            together = max(1, min(TOGETHER, (1 << 21) // n))
             for i in range(0, len(same), together):
                 part = same[i : i + together]
-                codes = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).reshape(len(part), length)
-                self.known.update(zip(part, self.viterbi(codes)))
+                ids += self.viterbi(codes[start[part][:, None] + np.arange(n)])
+                order.append(part)
+        keys = keys[np.concatenate(order)]
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        begin = len(self.found) + np.cumsum(count) - count
+        self.found = np.concatenate([self.found, *ids])
+        by = np.argsort(keys)
+        place = np.searchsorted(self.words, keys[by])
+        self.words = np.insert(self.words, place, keys[by])
+        self.begin = np.insert(self.begin, place, begin[by])
+        self.count = np.insert(self.count, place, count[by])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        cut = [None if t is None else _words(t, self.joined) for t in texts]
-        new = {w for words in cut if words for w in words if w not in self.known}
-        if new:
-            kept = {} if len(self.known) + len(new) > KNOWN_WORDS else None
-            self.learn(sorted(new))
-            if kept is not None:  # the table was emptied: words known before are searched again
-                self.learn(sorted({w for words in cut if words for w in words if w not in self.known}))
-        known, none = self.known, np.zeros(0, np.int32)
-        return [None if ws is None else (np.concatenate([known[w] for w in ws]) if ws else none) for ws in cut]
+        """Ids of each text of a block; all words of the block are cut and looked up together."""
+        forms = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        codes = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), np.uint32)
+        none = np.zeros(0, np.int32)
+        if not len(codes):
+            return [None if t is None else none for t in texts]
+        ends = np.cumsum([len(f) for f in forms])
+        cut = np.ones(len(codes), bool)
+        left, right = codes[:-1], codes[1:]
+        plain = (left < COMMON) & (right < COMMON)
+        cut[1:][plain] = ~self.common[left[plain], right[plain]]
+        rare = np.flatnonzero(~plain)
+        pair = left[rare].astype(np.int64) << 21 | right[rare]
+        at = np.minimum(np.searchsorted(self.joined, pair), len(self.joined) - 1)
+        cut[1:][rare] = self.joined[at] != pair
+        cut[ends[ends < len(codes)]] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(codes))
+        keys, first, which = np.unique(tk.range_hash(tk.prefix(codes), start, end), return_index=True, return_inverse=True)
+        if len(self.words) > KNOWN_WORDS:
+            self._forget()
+        place = np.minimum(np.searchsorted(self.words, keys), max(len(self.words) - 1, 0))
+        known = self.words[place] == keys if len(self.words) else np.zeros(len(keys), bool)
+        if not known.all():
+            self._learn(keys[~known], codes, start[first[~known]], end[first[~known]])
+            place = np.searchsorted(self.words, keys)
+        count = self.count[place][which]
+        before = np.cumsum(count) - count
+        flat = self.found[np.arange(int(count.sum())) + np.repeat(self.begin[place][which] - before, count)]
+        bounds = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, np.concatenate([[0], ends]))]
+        return [None if t is None else flat[a:b] for t, a, b in zip(texts, bounds.tolist(), bounds[1:].tolist())]
 
     def decode(self, ids: list[int] | None) -> str | None:
         if ids is None:
@@ -161,22 +205,24 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-def _words(text: str, joined: set[str]) -> list[str]:
-    """The normal form of a text, cut wherever no piece holds the two characters that meet."""
-    if not text:
-        return []
-    plain = SPACE + text.replace(" ", SPACE)
-    codes = np.frombuffer(plain.encode("utf-32-le"), np.uint32).astype(np.int64)
-    pairs, which = np.unique(codes[:-1] << 21 | codes[1:], return_inverse=True)
-    apart = np.fromiter((chr(p >> 21) + chr(p & 0x1FFFFF) not in joined for p in pairs.tolist()), bool, len(pairs))
-    cuts = [0, *(np.flatnonzero(apart[which]) + 1).tolist(), len(plain)]
-    return [plain[i:j] for i, j in zip(cuts, cuts[1:])]
+def _small(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Pieces of batches with about ``IDS_TOGETHER`` ids."""
+    for batch in batches:
+        lengths = batch.column(batch.schema.get_field_index(column)).value_lengths().fill_null(0).to_pylist()
+        start, held = 0, 0
+        for i, n in enumerate(lengths):
+            if held and held + n > IDS_TOGETHER:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if start < len(lengths):
+            yield batch.slice(start)
 
 
 def _mapped(column: str, keep: list[str], name: str, kind: pa.DataType, model: str, encoding: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.of(model)
-        for batch in batches if not encoding else tk.blocks(batches, column):
+        for batch in tk.blocks(batches, column) if encoding else _small(batches, column):
             values = batch.column(batch.schema.get_field_index(column)).to_pylist()
             done = pieces.encode(values) if encoding else [pieces.decode(v) for v in values]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
