@@ -46,10 +46,7 @@ class Queues:
             self.held += positions.nbytes
             self.queues[symbol].append((positions, common))
 
-    def pop(self, symbol: int, newest: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
-        queue = self.queues[symbol]
-        if not queue:
-            return None
+    def _take(self, queue: deque, newest: bool) -> tuple[np.ndarray, np.ndarray]:
         item = queue.pop() if newest else queue.popleft()
         if isinstance(item, str):
             with open(item, "rb") as file:
@@ -59,6 +56,17 @@ class Queues:
         self.held -= item[0].nbytes
         return item
 
+    def pop(self, symbol: int, newest: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+        """What waits at one end of a queue, about a chunk of it, as one batch in queue order."""
+        queue, items, size = self.queues[symbol], [], 0
+        while queue and size < CHUNK:
+            items.append(self._take(queue, newest))
+            size += len(items[-1][0])
+        if len(items) < 2:
+            return items[0] if items else None
+        positions, common = zip(*(reversed(items) if newest else items))
+        return np.concatenate(positions), np.concatenate(common)
+
 
 def _chunks(positions: np.ndarray, common: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for i in range(0, len(positions), CHUNK):
@@ -137,9 +145,10 @@ class InducedSort:
         while covered < self.depth and n > 1:
             follow = np.zeros(n, np.int64)
             follow[: n - reach] = rank[reach:] + 1 if reach < n else 0
-            order = np.lexsort((follow, rank))
+            pair = rank * (n + 1) + follow
+            order = np.argsort(pair)
             new = np.ones(n, bool)
-            new[1:] = (rank[order][1:] != rank[order][:-1]) | (follow[order][1:] != follow[order][:-1])
+            new[1:] = pair[order][1:] != pair[order][:-1]
             start = np.flatnonzero(new)[np.cumsum(new) - 1]
             rank = np.empty(n, np.int64)
             rank[order] = start
