@@ -256,6 +256,20 @@ def test_classifier_parts_prose_from_noise(spark, work):
     assert not found[200].kept and found[200].perplexity is None and found[202].threshold == found[0].threshold
 
 
+def test_classifier_threshold_is_a_quantile_of_held_out_text(spark, work):
+    rng = random.Random(11)
+    rows = [(i, prose(rng, 80), "en") for i in range(60)] + [(100 + i, "".join(rng.choices("#$qxzXQ%&", k=300)), "en") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = range(0, 60, 2)
+    labels = spark.createDataFrame([(i, 1) for i in trusted] + [(100, 0)], "doc_id long, quality int")
+    found = {r.doc_id: r for r in kneser_ney.score(frame, labels, work, quantile=1.0).collect()}
+    assert found[0].threshold == max(found[i].perplexity for i in trusted)
+    # trusted text is measured like any other: the model that measures it has not seen it
+    seen, new = (np.mean([found[i].perplexity for i in range(first, 60, 2)]) for first in (0, 1))
+    assert abs(seen / new - 1) < 0.02
+    assert sum(found[i].kept for i in range(60)) >= 55 and not any(found[100 + i].kept for i in range(20))
+
+
 def test_classifier_without_trusted_text(docs, spark, work):
     frame, labels = docs(["a b c", None]), spark.createDataFrame([], "doc_id long, quality int")
     assert [r.kept for r in kneser_ney.score(frame, labels, work).collect()] == [True, True]
