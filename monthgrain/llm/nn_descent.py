@@ -3,8 +3,8 @@
 Equal vectors are one node, so a vector that a third of the rows hold is one node with many members.  The graph starts from
 small groups of vectors that fall on the same side of random planes (large groups are salted into small ones) and from random
 groups.  Each round joins neighbours of neighbours: around every node, its neighbours and a sample of the nodes that name it
-meet; pairs with a link that is new since the last round are measured in half precision, and what beats a node's current
-neighbours enters the next round's top ``k``.  Rounds stop when few links change.
+meet; pairs with a link that is new since the last round are measured in double precision, as differences of the original
+vectors, and what beats a node's current neighbours enters the next round's top ``k``.  Rounds stop when few links change.
 
 A query starts at its own node, keeps the ``beam`` nearest nodes seen, expands those not yet expanded along links in both
 directions, and stops when all are; all queries walk together, one join per step.  Distances there are Euclidean in double
@@ -28,7 +28,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from monthgrain.llm.work import Work
 
-GRAPH = "u long, v long, d float"
+GRAPH = "u long, v long, d double"
+#: Numbers that a local join may hold at once as differences.
+HELD = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -55,17 +57,12 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return good.filter(F.size("vec") == length).groupBy("id").agg(F.min("vec").alias("vec"))
 
 
-def _scaled(scale: float):
-    """Half-precision codes of the vectors, scaled into range."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                vectors = _matrix(batch.column(1))
-                codes = (vectors / scale).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())], ["id", "code"])
-
-    return run
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors as bytes, exact."""
+    for batch in batches:
+        if batch.num_rows:
+            codes = [v.tobytes() for v in _matrix(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["id", "code"])
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
@@ -81,7 +78,7 @@ def _plane_groups(size: int, settings: Settings, center: list[float]):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float16).reshape(batch.num_rows, -1).astype(np.float32)
+            vectors = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(batch.num_rows, -1)
             for t in range(settings.planes):
                 planes = np.random.default_rng(settings.seed + t).standard_normal((len(middle), bits))
                 sides = ((vectors - middle) @ planes > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(vectors), np.int64)
@@ -98,18 +95,21 @@ def _local_join(keep: int):
         groups, width, dim = len(sizes), int(sizes.max()), codes.shape[1]
         row = np.repeat(np.arange(groups), sizes)
         column = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        vectors = np.zeros((groups, width, dim), np.float32)
+        vectors = np.zeros((groups, width, dim))
         vectors[row, column] = codes
-        limit = np.full((groups, width), -1, np.float32)
+        limit = np.full((groups, width), -1.0)
         limit[row, column] = bound
         fresh = np.zeros((groups, width), bool)
         fresh[row, column] = new
         names = np.zeros((groups, width), np.int64)
         names[row, column] = ids
         present = limit >= 0
-        square = (vectors**2).sum(2)
-        far = square[:, :, None] + square[:, None, :] - 2 * np.matmul(vectors, vectors.transpose(0, 2, 1))
-        far = np.sqrt(np.maximum(far, 0))
+        # differences, not a*a + b*b - 2ab: near-equal vectors far from the origin keep their distances
+        far = np.empty((groups, width, width))
+        for first in range(0, groups, step := max(1, HELD // (width * width * dim))):
+            some = vectors[first : first + step]
+            apart = some[:, :, None, :] - some[:, None, :, :]
+            far[first : first + step] = np.sqrt(np.einsum("gijx,gijx->gij", apart, apart))
         good = (fresh[:, :, None] | fresh[:, None, :]) & present[:, None, :] & (far < limit[:, :, None])
         good &= ~np.eye(width, dtype=bool)[None]
         far[~good] = np.inf
@@ -131,7 +131,7 @@ def _local_join(keep: int):
                 members = lists.flatten()
                 sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 ids, code, bound, new = (members.field(i) for i in range(4))
-                codes = np.frombuffer(b"".join(code.to_pylist()), np.float16).reshape(len(members), -1).astype(np.float32)
+                codes = np.frombuffer(b"".join(code.to_pylist())).reshape(len(members), -1)
                 out = block(ids.to_numpy(), codes, bound.to_numpy(), new.to_numpy(zero_copy_only=False), sizes)
                 if out is not None:
                     yield out
@@ -154,24 +154,25 @@ def _best(links: DataFrame, k: int) -> DataFrame:
 
 def build(nodes: DataFrame, work: Work, settings: Settings) -> DataFrame:
     """(u, v, d) with the approximate k nearest nodes of every node; ``nodes`` has node and vec."""
-    total = nodes.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("vec", F.abs))).alias("top")).first()
-    size, scale = total["n"], total["top"] or 1.0
-    middle = nodes.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x")).orderBy("i").collect()
-    codes = nodes.select(F.col("node").alias("id"), "vec").mapInArrow(_scaled(scale), "id long, code binary")
+    size = nodes.count()
+    # medians: one huge component would move means so far that all others fall on one side
+    cut = F.percentile_approx("x", 0.5, 1000).alias("x")
+    middle = nodes.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(cut).orderBy("i").collect()
+    codes = nodes.select(F.col("node").alias("id"), "vec").mapInArrow(_packed, "id long, code binary")
     codes = work.save(codes, "codes")
-    planes = codes.mapInArrow(_plane_groups(size, settings, [r["x"] / scale for r in middle]), "t int, side long, id long")
+    planes = codes.mapInArrow(_plane_groups(size, settings, [r["x"] for r in middle]), "t int, side long, id long")
     counted = planes.groupBy("t", "side").agg(F.count("*").alias("n"))
     salt = F.pmod(F.xxhash64("id", "t"), F.ceil(F.col("n") / settings.group))
     sides = planes.join(counted, ["t", "side"]).select("id", F.xxhash64("t", "side", salt).alias("g"))
     chance = F.pmod(F.xxhash64(F.col("id"), F.lit(settings.seed)), F.lit(max(1, size // 16)))
     groups = sides.unionByName(codes.select("id", chance.alias("g"))).join(codes, "id")
-    groups = groups.withColumns({"bound": F.lit(float("inf")).cast("float"), "new": F.lit(True)})
+    groups = groups.withColumns({"bound": F.lit(float("inf")), "new": F.lit(True)})
     graph = work.save(_best(_met(groups, settings.k).withColumn("new", F.lit(True)), settings.k), "graph-0")
     for i in range(1, settings.rounds + 1):
         bound = graph.groupBy("u").agg(F.max("d").alias("worst"), F.count("*").alias("n"))
-        open_end = F.when(F.col("n") < settings.k, F.lit(float("inf"))).otherwise(F.col("worst")).cast("float")
+        open_end = F.when(F.col("n") < settings.k, F.lit(float("inf"))).otherwise(F.col("worst"))
         bounds = bound.select(F.col("u").alias("id"), open_end.alias("bound"))
-        known = codes.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf")).cast("float")))
+        known = codes.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
         draw = W.partitionBy("v").orderBy(F.desc("new"), F.xxhash64("u", "v", F.lit(i)))
         named = graph.select("u", "v", "new").withColumn("r", F.row_number().over(draw)).filter(F.col("r") <= settings.reverse)
         pieces = graph.select(F.col("u").alias("g"), F.col("v").alias("id"), "new")

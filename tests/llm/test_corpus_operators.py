@@ -100,6 +100,24 @@ def test_neighbours_reach_recall(spark, work):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("noise, outlier", [(1e-5, 1.0), (1e-3, 1e7)])
+def test_neighbours_of_near_equal_vectors(spark, work, noise, outlier):
+    """A third of the rows nearly equal, and one huge component."""
+    rng = np.random.default_rng(1)
+    matrix = rng.standard_normal((1200, 24))
+    matrix[400:800] = matrix[400] * (1 + noise * rng.standard_normal((400, 24)))
+    matrix[1, 3] = outlier
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id long, embedding array<double>")
+    found = nn_descent.search(frame, F.col("id") % 50 == 0, work).collect()
+    near, others = [], []
+    for q in range(0, 1200, 50):
+        far = np.sqrt(((matrix - matrix[q]) ** 2).sum(1))
+        far[q] = np.inf
+        best = np.lexsort((np.arange(1200), far))[:10]
+        (near if 400 <= q < 800 else others).append(len({r.vec_id for r in found if r.query_id == q} & set(best.tolist())))
+    assert np.mean(near) >= 9 and np.mean(others) >= 8, (near, others)
+
+
 @pytest.mark.parametrize("n", [0, 1, 3])
 def test_few_vectors(spark, work, n):
     frame = spark.createDataFrame([(100 * i, [float(i), 1.0]) for i in range(n)], "vec_id long, embedding array<float>")
