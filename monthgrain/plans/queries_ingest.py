@@ -444,18 +444,14 @@ def q01(d: DriverTables):
 
 # ---- trained model -----------------------------------------------------------------------------------------
 
-# small settings: the library default is 300 trees and twelve origins
-QUICK = pooled.Boosting(trees=10)
-
-
 @query("m08_pooled_boost_backtest")
 def m08(d: DriverTables):
-    return pooled.boosted_backtest(d.modelled, QUICK, n_origins=2)
+    return pooled.boosted_backtest(d.modelled)
 
 
 @query("m12_boost_forward")
 def m12(d: DriverTables):
-    return pooled.boosted_forward(d.modelled, QUICK)
+    return pooled.boosted_forward(d.modelled)
 
 
 @query("m13_all_model_forward")
@@ -463,7 +459,7 @@ def m13(d: DriverTables):
     history = d.modelled
     rows = durable(
         comparison.union_loose(
-            [seasonal_naive.naive_forward(history), smoothing.smoothing_forward(history), pooled.boosted_forward(history, QUICK)]
+            [seasonal_naive.naive_forward(history), smoothing.smoothing_forward(history), pooled.boosted_forward(history)]
         ),
         "all-forward",
     )

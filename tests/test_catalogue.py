@@ -74,3 +74,20 @@ def test_result_does_not_depend_on_broadcasting(spark):
         assert sorted(map(str, df.collect())) == usual
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@present
+@pytest.mark.parametrize("name, calls", [("m08_pooled_boost_backtest", "boosted_backtest"), ("m12_boost_forward", "boosted_forward"), ("m13_all_model_forward", "boosted_forward")])
+def test_trained_queries_use_the_library_settings(spark, monkeypatch, name, calls):
+    from monthgrain.operators import pooled
+
+    class Seen(Exception):
+        pass
+
+    def record(*args, **named):
+        raise Seen(args[1:], named)
+
+    monkeypatch.setattr(pooled, calls, record)
+    with pytest.raises(Seen) as seen:
+        entry.queries()[name](spark, SF)
+    assert seen.value.args == ((), {})
