@@ -9,11 +9,12 @@ have equal seeds, so:
 3. A seed with several different segments needs the suffix array.  One copy of each segment is cut from its document and
    parted in two by where the seed lies, keyed by 132 shared bytes; Spark deals the parts out by that key and sorts them,
    and a task gathers whole groups into shards of about ``SHARD_BYTES`` and runs the external induced sort over each: windows
-   whose suffixes share ``LENGTH`` bytes with a neighbour repeat.  A group beyond that size is one shard of its own and lives
-   in memory-mapped files and disk-backed queues.
+   whose suffixes share ``LENGTH`` bytes with a neighbour repeat.  A group beyond that size is one shard of its own; only the
+   queues of its sort go to disk.
 4. Repeated windows go back to the segments' places, are merged per document and cut out.
 
-Seeds, counts and segments cover all texts; no step depends on the size of the input or gathers a key in one task.
+Seeds, counts and segments cover all texts.  Not done yet: the parts of one key are gathered in one task and held in memory, with
+the arrays of their sort, so a passage with very many different surroundings is bounded by a task's memory.
 
 Defined results: null and empty texts have no bytes; texts under ``LENGTH`` bytes keep all; matches never cross texts; repeated
 rows are documents that repeat each other; null ids and ties do no harm (a row is known by its id and text); an empty table
