@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import month, raises_in_job, series_rows
+from helpers import month, raises_in_job, series_rows
 from pyspark.sql import functions as F
 
 from monthgrain.contracts import MODEL_NAIVE, MODEL_SMOOTHING, ContractError

@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import month, raises_in_job, series_rows
+from helpers import month, raises_in_job, series_rows
 
 from monthgrain.contracts import MODEL_NAIVE, MODEL_SMOOTHING, ContractError
 from monthgrain.operators import (

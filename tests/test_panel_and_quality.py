@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import month, series_rows
+from helpers import month, series_rows
 
 from monthgrain.contracts import ContractError, duplicated_series_ids
 from monthgrain.operators import checks, joins, panel, quality, splits, summaries

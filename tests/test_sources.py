@@ -5,7 +5,7 @@ import hashlib
 import json
 
 import pytest
-from conftest import raises_in_job, series_rows
+from helpers import raises_in_job, series_rows
 from pyspark.sql import functions as F
 
 from monthgrain.contracts import ContractError
