@@ -1,8 +1,9 @@
 """Vectorised text helpers that run inside Spark tasks.
 
 A block of texts is one flat UTF-8 byte array plus offsets.  Words are the runs of bytes outside 0x20 and 0x09-0x0D; UTF-8
-never uses those bytes inside a longer character, so byte runs equal code-point runs.  Hashes are polynomials modulo 2**64
-over prefix sums, mixed to full avalanche, so that every word, line or window costs one subtraction.
+never uses those bytes inside a longer character, so byte runs equal code-point runs.  Hashes are polynomials modulo the prime
+2**61 - 1 over prefix sums, mixed to full avalanche, so that every word, line or window costs one subtraction.  (Modulo a power
+of two, two Thue-Morse strings of some thousand characters collide whatever the base; a prime field has no such pair.)
 """
 
 from __future__ import annotations
@@ -13,17 +14,44 @@ import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
+_PRIME = (1 << 61) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_POINT = 0x0C5D1B2F7A49E36D % _PRIME
+_INVERSE = pow(_POINT, -1, _PRIME)
+_M, _LOW32, _LOW29 = _U(_PRIME), _U((1 << 32) - 1), _U((1 << 29) - 1)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text that one block holds; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Values that one step of the arithmetic holds, so that its temporaries stay in the processor's cache.
+_CACHED = 1 << 14
 _powers = {}
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Values below 2**61 + 8 that are congruent to ``x``."""
+    return (x & _M) + (x >> _U(61))
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """x * 2**32 modulo the prime, for x below 2**62, as a value below 2**61 + 2**33."""
+    return (x >> _U(29)) + ((x & _LOW29) << _U(32))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = _folded(x)
+    return x - _M * (x >= _M)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, by 32-bit limbs."""
+    a_high, a_low, b_high, b_low = a >> _U(32), a & _LOW32, b >> _U(32), b & _LOW32
+    middle = a_high * b_low + a_low * b_high
+    return _reduced((a_high * b_high << _U(3)) + _shifted(middle) + _folded(a_low * b_low))
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 … base**(n-1) modulo 2**64, kept per worker and grown by doubling."""
+    """base**0 … base**(n-1) modulo the prime, kept per worker and grown by doubling."""
     known = _powers.get(base)
     if known is None or len(known) < n:
         size = max(n, BLOCK_BYTES + 1)
@@ -32,7 +60,7 @@ def powers(base: int, n: int) -> np.ndarray:
         filled = 1
         while filled < size:
             step = min(filled, size - filled)
-            known[filled : filled + step] = known[:step] * _U(pow(base, filled, 1 << 64))
+            known[filled : filled + step] = times(known[:step], np.array([pow(base, filled, _PRIME)], _U))
             filled += step
         _powers[base] = known
     return known[:n]
@@ -46,14 +74,41 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of (byte + 1) * base**i; the hash of any range follows from two of them."""
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * powers(_BASE, len(data)), out=sums[1:])
-    return sums
+    """Prefix sums of (symbol + 1) * point**i; the hash of any range follows from two of them.
+
+    Both limbs of the powers are summed in rows short enough for 64 bits; the totals of the rows before are added afterwards.
+    """
+    n = len(data)
+    out = np.zeros(n + 1, _U)
+    if not n:
+        return out
+    row = min(1 << max(31 - (int(data.max()) + 1).bit_length(), 4), 1 << 12)
+    point = powers(_POINT, n)
+    for begin in range(0, n, _CACHED):
+        end = min(begin + _CACHED, n)
+        rows = -(-(end - begin) // row)
+        value = np.zeros(rows * row, _U)
+        value[: end - begin] = data[begin:end]
+        value[: end - begin] += _U(1)
+        part = np.zeros(rows * row, _U)
+        part[: end - begin] = point[begin:end]
+        high = np.cumsum((value * (part >> _U(32))).reshape(rows, row), axis=1)
+        low = np.cumsum((value * (part & _LOW32)).reshape(rows, row), axis=1)
+        sums = _folded(_shifted(_folded(high)) + _folded(low))
+        total = sums[:, -1]
+        carry = np.concatenate([out[begin : begin + 1], total[:-1]])
+        carried = _folded(_shifted(_folded(np.cumsum(carry >> _U(32)))) + _folded(np.cumsum(carry & _LOW32)))
+        out[begin + 1 : end + 1] = _reduced(sums + carried[:, None]).reshape(-1)[: end - begin]
+    return out
 
 
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((sums[end] - sums[start]) * powers(_INVERSE, len(sums))[start])
+    out = np.empty(len(start), _U)
+    back = powers(_INVERSE, len(sums))
+    for i in range(0, len(start), _CACHED):
+        a, b = start[i : i + _CACHED], end[i : i + _CACHED]
+        out[i : i + _CACHED] = mix(times(_reduced(sums[b] + (_M - sums[a])), back[a]))
+    return out
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

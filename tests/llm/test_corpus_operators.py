@@ -222,6 +222,15 @@ def test_near_copies_like_brute_force(docs, work, settings, small, monkeypatch):
         assert ((r.n_shingles, r.component_id), r.kept) == (want[r.doc_id], r.doc_id == want[r.doc_id][1])
 
 
+def test_texts_of_long_mirrored_words_are_not_linked(docs, work):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    mirror = word.translate(str.maketrans("ab", "ba"))
+    rows = minhash_dedup.near_duplicates(docs([word, mirror, f"x {word} y", f"x {mirror} y"]), work, minhash_dedup.CONTRACT)
+    assert sorted((r.doc_id, r.component_id) for r in rows.collect()) == [(i, i) for i in range(4)]
+
+
 def test_one_of_each_group_stays(docs, work):
     text = prose(random.Random(9), 40)
     frame = docs([text, text, text, "", None, "other", "other", text + " end"], [4, 4, None, 7, 8, None, None, 9])

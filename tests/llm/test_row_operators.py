@@ -17,7 +17,18 @@ from tokenizers import Tokenizer
 from monthgrain.llm import packing, pii, quality_rules, sentencepiece_viterbi, url_filter
 
 WORD = r"[^\x20\x09-\x0D]+"
-ODD = [None, "", " \n\t ", "one", "a b", "é x é x é x", "x\n\nx\nx \n", "漢字 😀 " * 40, "w" * 30_000, "no $$$ & <b> " * 30]
+
+
+def thue_morse(n):
+    """A word and its mirror: they collide under every polynomial modulo a power of two."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+A, B = thue_morse(1024)
+ODD = [None, "", " \n\t ", "one", "a b", "é x é x é x", "x\n\nx\nx \n", "漢字 😀 " * 40, "w" * 30_000, "no $$$ & <b> " * 30, f"{A}\n{B}", f"{A} {B} {A} {A} {B}"]
 
 
 def measured(text):
