@@ -14,6 +14,8 @@ from monthgrain.llm import (
     pii,
     quality_rules,
     sentencepiece_viterbi,
+    simhash_pigeonring,
+    source_divergence,
     suffix_dedup,
     url_filter,
     warc,
@@ -147,3 +149,46 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return kneser_ney.score(docs, labels, Work(spark, "kneser_ney"))
+
+
+@query("op12_simhash_pigeonring")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pigeonring.near_duplicates(table(spark, sf_dir, "documents"), Work(spark, "simhash"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+vocab AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN vocab v ON v.lang = t.lang AND v.term = t.term GROUP BY ALL),
+v AS (SELECT lang, count(*) AS terms FROM vocab GROUP BY lang),
+total AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+whole AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+whole_total AS (SELECT lang, sum(n) AS total FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, vocab.term, coalesce(c.n, 0) AS n,
+        CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1)) // (coalesce(total.total, 0) + v.terms) AS HUGEINT) AS p
+      FROM g JOIN vocab ON vocab.lang = g.lang JOIN v ON v.lang = g.lang
+        LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = vocab.term
+        LEFT JOIN total ON total.lang = g.lang AND total.source = g.source),
+q AS (SELECT whole.lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 1)) // (total + terms) AS HUGEINT) AS q
+      FROM whole JOIN whole_total USING (lang) JOIN v USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+        FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(far.value, 0) AS value
+          FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+            LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, ((p.p - q.q) * (p.p - q.q)) // q.q AS value
+          FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op13_source_divergence", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"), Work(spark, "divergence"))
