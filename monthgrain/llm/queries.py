@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from monthgrain.llm import (
+    ball_tree,
     kneser_ney,
     minhash_dedup,
     nn_descent,
@@ -151,6 +152,32 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(docs, labels, Work(spark, "kneser_ney"))
 
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark),
+asked AS (SELECT q, item_id, term, count(*) AS repeats FROM (SELECT q, item_id, unnest(ts) AS term FROM b) GROUP BY ALL),
+f AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS total FROM d),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+x AS (SELECT tf.r, tf.term, (1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * len(d.ts) * f.n_docs) // f.total)) AS x
+      FROM tf JOIN d ON d.r = tf.r, f),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * f.n_docs + 2) / (2 * df.df + 1))) AS BIGINT) AS w FROM df, f),
+s AS (SELECT asked.q, asked.item_id, x.r, CAST(sum(asked.repeats * w.w * x.x) AS BIGINT) AS score
+      FROM asked JOIN w ON w.term = asked.term JOIN x ON x.term = asked.term GROUP BY ALL),
+k AS (SELECT s.*, d.doc_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s JOIN d ON d.r = s.r WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+
+@query("op11_ball_tree_search", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Work(spark, "ball_tree"))
+
+
 @query("op12_simhash_pigeonring")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pigeonring.near_duplicates(table(spark, sf_dir, "documents"), Work(spark, "simhash"))
