@@ -194,7 +194,8 @@ class BallTree:
         left = to(int(np.argmax(away)))
         lean = left - to(int(np.argmax(left)))
         cut = int(np.count_nonzero(lean < 0))
-        cut = min(max(cut, n // 8), n - n // 8)  # the depth stays logarithmic
+        least = max(n // 8, 1)
+        cut = min(max(cut, least), n - least)  # the depth stays logarithmic
         by = np.argsort(lean, kind="stable")
         one = self._grow(rows.taken(by[:cut]), places[by[:cut]], first)
         two = self._grow(rows.taken(by[cut:]), places[by[cut:]], first + cut)
