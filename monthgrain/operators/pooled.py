@@ -1,10 +1,19 @@
-"""Pooled boosted trees: one model per metric and origin over all series, forecast recursively."""
+"""Pooled boosted trees: one model per metric and origin over all series, forecast recursively.
+
+Models of different (metric, origin) do not depend on each other, and a fit is a long chain of short jobs that leaves most of a
+cluster idle, so a bounded pool of driver threads trains them side by side; each fit is Spark's own distributed learner.
+Every finished model, and the predictions of every (metric, origin), are kept in the shared folder under a fingerprint of
+the training rows and settings: a restart goes on where it stopped, and no model is trained twice on the same rows.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -26,8 +35,13 @@ from monthgrain.operators.features import BASE_FEATURES, pooled_training_frame
 from monthgrain.operators.production import attach_actuals
 from monthgrain.operators.seasonal_naive import ERROR_COLUMNS, future_periods, with_errors
 from monthgrain.operators.splits import rolling_origins
-from monthgrain.session import durable
+from monthgrain.session import durable, durable_root
+from monthgrain.sources.model_store import Store, content, digest
 
+#: Models that are trained at a time.
+TOGETHER = 8
+#: Training rows that one task of a fit takes.
+ROWS_PER_TASK = 50_000
 DEPTH = max(max(LAGS), max(ROLLING_WINDOWS))
 
 
@@ -101,53 +115,102 @@ def _step_features(state: DataFrame, step: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class _Fit:
+    """One pooled model that is wanted: its fingerprint and the number of its training rows."""
+
     metric: str
     origin: dt.date
-    encoder: PipelineModel
-    trees: GBTRegressionModel
+    key: str
+    rows: int
 
 
-def _recursive(states: DataFrame, fits: list[_Fit], horizon: int) -> DataFrame:
-    """Forecast all (metric, origin) states step by step.
+def _recursive(states: DataFrame, encoder: PipelineModel, trees: GBTRegressionModel, horizon: int, label: str) -> DataFrame:
+    """Forecast the states of one model step by step.
 
-    Each step predicts every model's rows, appends the prediction to the state array and is written to
-    the shared folder: the plan stays one step deep and a lost executor repeats one step only.
+    Each step predicts all series, appends the prediction to the state array and is written to the shared folder: the plan
+    stays one step deep and a lost executor repeats one step only.
     """
     keep = ["series_id", *SERIES_ATTRS, "origin", "location_key"]
     frames = []
     for step in range(1, horizon + 1):
-        rows = _step_features(states, step)
-        parts = [
-            f.trees.transform(
-                f.encoder.transform(rows.where((F.col("metric") == f.metric) & (F.col("origin") == F.lit(f.origin))))
-            ).select(*keep, "tail", "forecast_period", "horizon_step", "predicted")
-            for f in fits
-        ]
-        done = durable(union_loose(parts), f"boosted-step{step}")
+        rows = trees.transform(encoder.transform(_step_features(states, step)))
+        done = durable(rows.select(*keep, "tail", "forecast_period", "horizon_step", "predicted"), f"{label}-step{step}")
         frames.append(done.drop("tail", "location_key"))
         grown = F.concat(F.slice("tail", 2, DEPTH - 1), F.array("predicted"))
         states = done.select(*keep, grown.alias("tail"))
     return union_loose(frames).withColumn("model", F.lit(MODEL_BOOSTED))
 
 
-def _fit_all(history: DataFrame, origins: list[tuple[str, dt.date]], settings: Boosting) -> list[_Fit]:
-    """One pooled model per (metric, origin).
-
-    Features look back only, so the training rows of an earlier origin are a date filter on one feature
-    table; training itself is distributed over the rows of all series.
-    """
-    training = durable(pooled_training_frame(history), "boosted-training")
-    encoders, fits = {}, []
+def _wanted(training: DataFrame, origins: list[tuple[str, dt.date]], settings: Boosting) -> list[_Fit]:
+    """Fingerprints of all models, from one pass: rows are hashed per month, months are added up to each origin."""
+    months = content(training, ["metric", "period_date"]).collect()  # one row per metric and month
+    fits = []
     for metric, origin in origins:
-        rows = training.where(F.col("metric") == metric)
-        if metric not in encoders:
-            encoders[metric] = _encoder().fit(rows)
-        encoded = encoders[metric].transform(rows.where(F.col("period_date") <= F.lit(origin)))
-        trees = _tree_model(settings).fit(encoded.select("features", "value"))
-        fits.append(_Fit(metric, origin, encoders[metric], trees))
+        own = sorted((str(r.period_date), r.n, r.x, r.s) for r in months if r.metric == metric and r.period_date <= origin)
+        # location categories come from all rows of the metric
+        everything = sorted((str(r.period_date), r.n, r.x, r.s) for r in months if r.metric == metric)
+        fits.append(_Fit(metric, origin, digest(asdict(settings), BASE_FEATURES, own, everything), sum(r[1] for r in own)))
     return fits
 
 
+def _side_by_side(spark, work: Callable[[_Fit], None], fits: list[_Fit]) -> None:
+    """Run ``work`` for every fit in a bounded pool; after a failure or a cancelled query nothing new is started."""
+    if not fits:
+        return
+    pool = ThreadPoolExecutor(min(TOGETHER, len(fits)))
+    try:
+        for done in [pool.submit(inheritable_thread_target(spark)(work), f) for f in fits]:
+            done.result()
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def _train(training: DataFrame, fits: list[_Fit], settings: Boosting, store: Store) -> None:
+    """Train what the store lacks; features look back only, so an earlier origin is a date filter on one feature table."""
+    spark = training.sparkSession
+    missing = [f for f in fits if not store.find("model", f.key)]
+    if missing and not spark.sparkContext.getCheckpointDir():
+        # boosting keeps one frame per tree: its lineage is cut in the shared folder
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{durable_root(spark)}/_checkpoints")
+    encoders = {m: _encoder().fit(training.where(F.col("metric") == m)) for m in sorted({f.metric for f in missing})}
+
+    def fit(wanted: _Fit) -> None:
+        rows = training.where((F.col("metric") == wanted.metric) & (F.col("period_date") <= F.lit(wanted.origin)))
+        encoded = encoders[wanted.metric].transform(rows).select("features", "value")
+        trees = _tree_model(settings).fit(encoded.coalesce(1 + wanted.rows // ROWS_PER_TASK))
+
+        def write(path: str) -> None:
+            encoders[wanted.metric].save(f"{path}/encoder")
+            trees.save(f"{path}/trees")
+
+        store.put("model", wanted.key, write)
+
+    _side_by_side(spark, fit, missing)
+
+
+def _forecasts(history: DataFrame, origins: list[tuple[str, dt.date]], settings: Boosting, horizon: int, store: Store | None) -> DataFrame:
+    """Forecasts of all (metric, origin), each kept as a partition of its own; only missing ones are computed."""
+    spark = history.sparkSession
+    store = store or Store(spark)
+    training = durable(pooled_training_frame(history), "boosted-training")
+    fits = _wanted(training, origins, settings)
+    key = lambda f: digest(f.key, str(f.origin), horizon)
+    missing = [f for f in fits if not store.find("forecast", key(f))]
+    if missing:
+        _train(training, missing, settings, store)
+        states = durable(_states(history, [(f.metric, f.origin) for f in missing]), "boosted-states")
+
+        def forecast(f: _Fit) -> None:
+            place = store.find("model", f.key)
+            encoder, trees = PipelineModel.load(f"{place}/encoder"), GBTRegressionModel.load(f"{place}/trees")
+            own = states.where((F.col("metric") == f.metric) & (F.col("origin") == F.lit(f.origin)))
+            rows = _recursive(own, encoder, trees, horizon, f"boosted-{f.key[:12]}")
+            store.put("forecast", key(f), lambda path: rows.write.parquet(f"{path}/rows"))
+
+        _side_by_side(spark, forecast, missing)
+    paths = [f"{store.find('forecast', key(f))}/rows" for f in fits]
+    return spark.read.parquet(*paths)
+
+
 def _states(history: DataFrame, origins: list[tuple[str, dt.date]]) -> DataFrame:
     unique = sorted({o for _, o in origins})
     tails = union_loose([_tails(history, F.lit(o)).withColumn("origin", F.lit(o)) for o in unique])
@@ -161,24 +224,29 @@ def boosted_backtest(
     horizon: int = HORIZON,
     n_origins: int = N_ORIGINS,
     min_history: int = MIN_HISTORY_MONTHS,
+    store: Store | None = None,
 ) -> DataFrame:
-    """Rolling-origin predictions; each metric takes its origins from its alphabetically first series."""
+    """Rolling-origin predictions; each metric takes its origins from its alphabetically first series.
+
+    ``store`` keeps models and predictions (by default in the session's shared folder).
+    """
     firsts = panel.groupBy("metric").agg(F.min("series_id").alias("series_id"))
     calendar = rolling_origins(panel.join(firsts, ["metric", "series_id"]), horizon, n_origins, min_history)
     # a few origins per metric: the loop over models runs on the driver, the work does not
     wanted = calendar.join(firsts, "series_id").select("metric", "origin").orderBy("metric", "origin")
     origins = [(r.metric, r.origin) for r in wanted.collect()]
-    fits = _fit_all(panel, origins, settings)
-    forecasts = _recursive(_states(panel, origins), fits, horizon)
+    if not origins:
+        raise ValueError("no rolling origin: histories are too short")
+    forecasts = _forecasts(panel, origins, settings, horizon, store)
     return with_errors(attach_actuals(forecasts, panel)).select(*PREDICTION_COLUMNS, *ERROR_COLUMNS)
 
 
-def boosted_forward(history: DataFrame, settings: Boosting = Boosting(), horizon: int = HORIZON) -> DataFrame:
+def boosted_forward(history: DataFrame, settings: Boosting = Boosting(), horizon: int = HORIZON, store: Store | None = None) -> DataFrame:
     """Forward forecasts of every metric from its own pooled model."""
     first = future_periods(history, horizon).orderBy("horizon_step").first()
     metrics = sorted(r.metric for r in history.select("metric").distinct().collect())
     origins = [(m, first.forecast_origin) for m in metrics]
-    forecasts = _recursive(_states(history, origins), _fit_all(history, origins, settings), horizon)
+    forecasts = _forecasts(history, origins, settings, horizon, store)
     return forecasts.select(
         "model",
         "series_id",

@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from monthgrain.contracts import LEVEL_AUTHORITY, LEVEL_REGION, REGION_AREA_DEFINITION
-from monthgrain.operators import comparison, quality, seasonal_naive, smoothing, splits
+from monthgrain.operators import comparison, pooled, quality, seasonal_naive, smoothing, splits
 from monthgrain.operators.consolidation import consolidate
 from monthgrain.operators.historical_anomalies import detect_historical, practical_historical
 from monthgrain.operators.panel import monthly_panel
@@ -194,6 +194,16 @@ class DriverTables:
         frames = [seasonal_naive.naive_backtest(self.modelled), smoothing.smoothing_backtest(self.modelled)]
         return durable(comparison.combine_predictions(frames), "predictions")
 
+    @cached_property
+    def all_predictions(self) -> DataFrame:
+        """Rolling-origin predictions of all three models; the trained one comes from its store, or is trained into it."""
+        frames = [
+            seasonal_naive.naive_backtest(self.modelled),
+            smoothing.smoothing_backtest(self.modelled),
+            pooled.boosted_backtest(self.modelled),
+        ]
+        return durable(comparison.combine_predictions(frames), "all-predictions")
+
     @cached_property
     def by_series(self) -> DataFrame:
         return comparison.metrics_by_series(self.predictions)

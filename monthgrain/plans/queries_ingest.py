@@ -8,10 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from monthgrain import contracts as C
-from monthgrain.operators import checks, comparison, pooled, production, seasonal_naive, smoothing
+from monthgrain.operators import checks, comparison, policy, pooled, production, seasonal_naive, smoothing
+from monthgrain.operators.consolidation import consolidate
+from monthgrain.operators.historical_anomalies import detect_historical, practical_historical
+from monthgrain.operators.residual_anomalies import detect_residual, practical_residual
 from monthgrain.plans import products
 from monthgrain.plans.catalogue import query
-from monthgrain.plans.driver_tables import DriverTables
+from monthgrain.plans.driver_tables import POLICY_CUTOFF, DriverTables
 from monthgrain.plans.queries_forecast import PRODUCTION_SQL
 from monthgrain.plans.queries_history import _checks_sql
 from monthgrain.plans.queries_rows import PANEL_FIELDS
@@ -449,6 +452,42 @@ def m08(d: DriverTables):
     return pooled.boosted_backtest(d.modelled)
 
 
+# the same comparisons as a11, a13, q06, v03 and n06, with the trained model in them; SQL cannot state a trained model
+
+
+@query("t05_three_models")
+def t05_three(d: DriverTables):
+    return d.all_predictions
+
+
+@query("q06_three_models")
+def q06_three(d: DriverTables):
+    return checks.alignment_checks(d.all_predictions, len(C.MODEL_ORDER)).drop("details")
+
+
+@query("a11_three_models")
+def a11_three(d: DriverTables):
+    return comparison.model_comparison(d.all_predictions)
+
+
+@query("a13_three_models")
+def a13_three(d: DriverTables):
+    return comparison.series_winners(comparison.metrics_by_series(d.all_predictions))
+
+
+@query("v03_three_models")
+def v03_three(d: DriverTables):
+    selection, evaluation = policy.split_by_cutoff(d.all_predictions, POLICY_CUTOFF)
+    return policy.evaluate_policies(evaluation, policy.selection_winners(selection))
+
+
+@query("n06_three_models")
+def n06_three(d: DriverTables):
+    winners = comparison.series_winners(comparison.metrics_by_series(d.all_predictions))
+    residual = practical_residual(detect_residual(d.all_predictions, winners))
+    return consolidate(practical_historical(detect_historical(d.stored_panel)), residual)
+
+
 @query("m12_boost_forward")
 def m12(d: DriverTables):
     return pooled.boosted_forward(d.modelled)

@@ -91,3 +91,26 @@ def test_trained_queries_use_the_library_settings(spark, monkeypatch, name, call
     with pytest.raises(Seen) as seen:
         entry.queries()[name](spark, SF)
     assert seen.value.args == ((), {})
+
+
+@present
+def test_three_models_are_compared(spark, monkeypatch):
+    """The comparison queries with the trained model hold all three, key by key; a quick model stands in for the full one."""
+    from monthgrain.operators import pooled
+
+    whole = pooled.boosted_backtest
+    monkeypatch.setattr(pooled, "boosted_backtest", lambda rows: whole(rows, pooled.Boosting(trees=2, depth=2)))
+    run = lambda name: entry.queries()[name](spark, SF).collect()
+    rows = run("t05_three_models")
+    keys = {}
+    for r in rows:
+        keys.setdefault((r.series_id, r.origin, r.horizon_step), {})[r.model] = (r.actual, r.predicted)
+    assert rows and all(len(v) == 3 and len({a for a, _ in v.values()}) == 1 for v in keys.values())
+    compared = run("a11_three_models")
+    assert len(compared) == 3 * len({r.metric for r in compared})
+    for c in compared:
+        gaps = [abs(r.actual - r.predicted) for r in rows if (r.model, r.metric) == (c.model, c.metric)]
+        assert c.n_forecasts == len(gaps) and abs(c.mae - sum(gaps) / len(gaps)) < 1e-6 * c.mae
+    assert {r.rank_mae for r in compared} == {1, 2, 3}
+    assert all(r.passed for r in run("q06_three_models"))
+    assert {r.policy for r in run("v03_three_models")} == {"per_series_selection", *(f"fixed_{r.model}" for r in compared)}

@@ -19,6 +19,7 @@ from monthgrain.operators import (
     smoothing,
     splits,
 )
+from monthgrain.sources.model_store import Store
 
 
 def seasonal(n, base=500.0, slope=0.7, amplitude=20.0, phase=0):
@@ -192,15 +193,58 @@ def test_smoothing_rejects_unusable_series(make_panel, values, skip, text):
 # ---- pooled trees -------------------------------------------------------------------------------------
 
 
-def test_pooled_backtest_is_complete_finite_and_repeatable(make_panel):
+def test_pooled_backtest_is_complete_finite_and_repeatable(make_panel, spark, tmp_path):
     df = make_panel(*[series_rows(seasonal(80, base=100 * k), location=k) for k in (1, 2, 3)])
     quick = pooled.Boosting(trees=2, depth=2)
-    rows = pooled.boosted_backtest(df, quick, n_origins=1).collect()
+    run = lambda folder: pooled.boosted_backtest(df, quick, n_origins=1, store=Store(spark, str(tmp_path / folder))).collect()
+    rows, again = run("one"), run("two")
     assert len(rows) == 3 * 6 and all(math.isfinite(r.predicted) for r in rows)
     assert {r.horizon_step for r in rows} == {1, 2, 3, 4, 5, 6}
-    again = pooled.boosted_backtest(df, quick, n_origins=1).collect()
     key = lambda r: (r.series_id, r.horizon_step)
     assert {key(r): r.predicted for r in rows} == {key(r): r.predicted for r in again}
+    values = {(r.series_id, r.period_date): r.value for r in df.collect()}
+    for r in rows:
+        assert r.actual == values[r.series_id, r.forecast_period]
+        assert (r.error, r.absolute_error, r.squared_error) == (r.actual - r.predicted, abs(r.error), r.error * r.error)
+
+
+def test_stored_models_and_predictions_are_used_again(make_panel, spark, tmp_path, monkeypatch):
+    """A restart trains and forecasts only what is missing; other rows, settings or horizons make other entries."""
+    places = [series_rows(seasonal(79, base=100 * k), location=k) for k in (1, 2)]
+    df, quick, store = make_panel(*places), pooled.Boosting(trees=2, depth=2), Store(spark, str(tmp_path / "store"))
+    trained, fit = [], pooled._tree_model
+
+    def counted(settings):
+        trained.append(settings)
+        if len(trained) == 2:
+            raise RuntimeError("lost on the way")
+        return fit(settings)
+
+    monkeypatch.setattr(pooled, "_tree_model", counted)
+    monkeypatch.setattr(pooled, "TOGETHER", 1)
+    run = lambda panel=df, **more: pooled.boosted_backtest(panel, quick, n_origins=2, store=store, **more)
+    with pytest.raises(RuntimeError):
+        run()
+    first = sorted(map(str, run().collect()))
+    assert len(trained) == 3  # the first origin's model was kept
+    assert sorted(map(str, run().collect())) == first and len(trained) == 3
+    assert len(run(horizon=3).collect()) == 2 * 2 * 3
+    before = len(trained)
+    changed = make_panel(places[0], [(*r[:6], r[6] + (i == 30), *r[7:]) for i, r in enumerate(places[1])])
+    run(changed)
+    assert len(trained) == before + 2
+    forward = lambda: sorted(map(str, pooled.boosted_forward(df, quick, store=store).collect()))
+    one, before = forward(), len(trained)
+    assert forward() == one and len(trained) == before
+
+
+def test_an_entry_without_its_mark_is_not_read(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    with pytest.raises(ValueError):
+        store.put("rows", "k", lambda path: (spark.range(3).write.parquet(f"{path}/rows"), int("x")))
+    assert store.find("rows", "k") is None
+    place = store.get("rows", "k", lambda path: spark.range(4).write.parquet(f"{path}/rows"))
+    assert store.find("rows", "k").endswith(place.rsplit("/", 1)[1]) and spark.read.parquet(f"{place}/rows").count() == 4
 
 
 # ---- comparison ------------------------------------------------------------------------------------------
