@@ -10,11 +10,10 @@ hash, the register keeps the leading-zero count and the next ``MANTISSA`` bits o
    of more than ``SMALL`` members three more classes are.
 4. A pair is estimated from its registers, corrected for chance collisions, and dropped only if ``SIGMAS`` standard
    deviations under the threshold; the rest is confirmed on the full sets of the texts.
-5. Rest: buckets whose members are still in different components are finished.  In buckets of up to ``SMALL`` members the pairs of
-   members of different components are compared.  Members of larger ones go through an exact prefix join: shingles are
-   ordered by their frequency among them, two sets over the threshold must share one of their rarest few, and the places of
-   that shingle in both bound what they can still share.  The bound is applied to (size, place) signatures per shingle before
-   any documents are paired, so a line or passage that very many texts hold pairs none of them.  Nothing is capped.
+5. Rest: buckets whose members are still in different components are finished block by block.  Their members are dealt into
+   blocks of about ``BLOCK`` classes of like set size that met the same star; two blocks form a unit if a bucket has members in
+   both and their sizes can reach the threshold.  A unit holds the full sets of its members, counts what every two of them share
+   inside the task, and returns only links that join two components: no row per pair is ever made.  Nothing is capped.
 
 With ``bands`` x ``rows`` registers, two documents at the threshold *t* share no band with chance (1 - t**rows)**bands: 2e-10
 at 0.85 with 38 x 5, 1e-11 at 0.8 with 48 x 4.
@@ -32,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from monthgrain.llm import textkernel as tk
 from monthgrain.llm.components import components
@@ -42,6 +41,8 @@ MANTISSA = 10
 EMPTY = 0xFFFF
 SIGMAS = 6
 SMALL = 32
+#: Classes of one block; a unit verifies two blocks.
+BLOCK = 256
 SKETCH = "doc_id long, text_hash long, n_shingles long, c binary, registers binary"
 _U = np.uint64
 
@@ -236,6 +237,82 @@ def _sets(settings: Settings):
     return run
 
 
+def overlaps(member: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
+    """How many shingles every two of ``n`` members share; (member, shingle) are distinct rows."""
+    shared = np.zeros((n, n), np.int64)
+    known, number, often = np.unique(shingle, return_inverse=True, return_counts=True)
+    common = often[number] > 1
+    member, number = member[common], np.unique(number[common], return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")
+    member, number = member[order], number[order]
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, 4096):
+        a, b = np.searchsorted(number, [low, low + 4096])
+        held = np.zeros((n, min(4096, int(number[-1]) + 1 - low)), np.float32)  # counts up to 4096: exact
+        held[member[a:b], number[a:b] - low] = 1
+        shared += (held @ held.T).astype(np.int64)
+    return shared
+
+
+def joining(c: np.ndarray, label: np.ndarray, size: np.ndarray, shared: np.ndarray, percent: int) -> list[tuple[bytes, bytes]]:
+    """Pairs over the threshold, as many as are needed to join the components of their members."""
+    union = size[:, None] + size[None, :] - shared
+    near = (100 * shared >= percent * union) & (label[:, None] != label[None, :])
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))):
+        x, y = root(label[i]), root(label[j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((min(c[i], c[j]), max(c[i], c[j])))
+    return out
+
+
+def _verified(settings: Settings):
+    """Rows sorted by unit to the links that join components; a unit's rows may span batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        unit = None
+
+        def links() -> pa.RecordBatch:
+            seen, members = set(), []
+            for row in held:
+                if row[0] not in seen:  # two blocks of one hash are one
+                    seen.add(row[0])
+                    members.append(row)
+            size = np.array([len(m[2]) for m in members])
+            shared = overlaps(np.repeat(np.arange(len(members)), size), np.concatenate([m[2] for m in members]), len(members))
+            c, label = (np.array([m[k] for m in members], object) for k in (0, 1))
+            found = joining(c, label, size, shared, settings.percent)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (batch.column(i).to_numpy() for i in (0, 1))
+            edges = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]), [True]]))
+            c, label, lists = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
+            flat = lists.flatten().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                if (x[a], y[a]) != unit:
+                    if held:
+                        yield links()
+                    held, unit = [], (x[a], y[a])
+                held += [(c[i], label[i], flat[ends[i] : ends[i + 1]]) for i in range(a, b)]
+        if held:
+            yield links()
+
+    return run
+
+
 class _Linker:
     """Candidate pairs to confirmed links, for one table of documents."""
 
@@ -281,10 +358,9 @@ class _Linker:
         first = self.links(stars, "star")
         labels = components(first, work, "star-components")
         rest = self._rest(members, labels)
-        rest = work.save(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-        if rest.isEmpty():
+        if rest is None or rest.isEmpty():
             return labels
-        return components(first.unionByName(self.links(rest, "rest")), work, "all-components")
+        return components(first.unionByName(rest), work, "all-components")
 
     def _stars(self, members: DataFrame) -> DataFrame:
         """Pairs (a < b) of every bucket member with the bucket's star; large buckets have three more stars.
@@ -298,47 +374,35 @@ class _Linker:
         both = members.select("star", "c").unionByName(again).filter("star != c")
         return both.select(F.least("star", "c").alias("a"), F.greatest("star", "c").alias("b")).distinct()
 
-    def _rest(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs (a < b) of bucket members in different components that may be similar."""
-        work = self.work
+    def _rest(self, members: DataFrame, labels: DataFrame) -> DataFrame | None:
+        """Links (a, b) that join the components that a bucket still holds apart, verified block by block."""
+        work, percent = self.work, self.settings.percent
         named = labels.withColumnsRenamed({"node": "c"})
-        rows = members.select("key", "size", "c").join(named, "c", "left")
-        rows = work.save(rows.select("key", "size", "c", F.coalesce("label", "c").alias("label")), "labelled")
+        rows = members.select("key", "star", "c").join(named, "c", "left")
+        rows = work.save(rows.select("key", "star", "c", F.coalesce("label", "c").alias("label")), "labelled")
         state = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key")
         mixed = work.save(rows.join(state, "key"), "mixed")
-        small = mixed.filter(F.col("size") <= SMALL)
-        a = small.select("key", F.col("c").alias("a"), F.col("label").alias("label_a"))
-        b = small.select("key", F.col("c").alias("b"), F.col("label").alias("label_b"))
-        pairs = a.join(b, "key").filter("a < b and label_a != label_b").select("a", "b")
-        large = work.save(mixed.filter(F.col("size") > SMALL).select("c", "label").distinct(), "large")
-        if large.isEmpty():
-            return pairs.distinct()
-        return pairs.unionByName(self._prefix_pairs(large)).distinct()
-
-    def _prefix_pairs(self, large: DataFrame) -> DataFrame:
-        """Exact candidates among ``large`` (c, label): pairs of other labels that a shared rare shingle allows."""
-        t, work = self.settings.percent, self.work
-        texts = self._texts(large)
-        sets = texts.mapInArrow(_sets(self.settings), "c binary, n int, shingles array<long>")
-        sets = work.save(sets.join(large, "c").dropDuplicates(["c"]), "sets")
-        spread = sets.select("c", "label", "n", F.explode("shingles").alias("shingle"))
-        counted = spread.groupBy("shingle").agg(F.count("*").alias("often"))
-        order = W.partitionBy("c").orderBy("often", "shingle")
-        placed = spread.join(counted, "shingle").withColumn("place", F.row_number().over(order))
-        prefix = F.col("n") - F.ceil(F.col("n") * t / 100) + 1
-        rows = work.save(placed.filter((F.col("place") <= prefix) & (F.col("often") > 1)).drop("often"), "prefixes")
-        kinds = rows.groupBy("shingle", "n", "place").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        side = lambda x: kinds.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "place", "low", "high")))
-        sizes = F.expr(f"100 * least(n_a, n_b) >= {t} * greatest(n_a, n_b)")
-        shared = F.expr(f"(100 + {t}) * (1 + least(n_a - place_a, n_b - place_b)) >= {t} * (n_a + n_b)")
-        once = F.expr("n_a < n_b or n_a = n_b and place_a <= place_b")
-        apart = F.expr("not (low_a = high_a and low_b = high_b and low_a = low_b)")
-        fit = side("a").join(side("b"), "shingle").filter(sizes & shared & once & apart)
-        fit = work.save(fit.select("shingle", "n_a", "place_a", "n_b", "place_b"), "signatures")
-        own = lambda x, y: rows.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("n", "place", "label")), F.col("c").alias(y))
-        met = fit.join(own("a", "x"), ["shingle", "n_a", "place_a"]).join(own("b", "y"), ["shingle", "n_b", "place_b"])
-        met = met.filter("label_a != label_b")
-        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        if mixed.isEmpty():
+            return None
+        placed = work.save(mixed.groupBy("c").agg(F.min("star").alias("group"), F.first("label").alias("label")), "placed")
+        sets = self._texts(placed.select("c")).mapInArrow(_sets(self.settings), "c binary, n int, shingles array<long>")
+        sets = sets.join(placed, "c").dropDuplicates(["c"])
+        # sets can reach the threshold only within one step of size
+        step = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
+        sets = work.save(sets.withColumn("step", step), "sets")
+        counted = sets.groupBy("group", "step").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        block = F.xxhash64("group", "step", F.pmod(F.xxhash64("c"), F.col("blocks")))
+        dealt = sets.join(counted, ["group", "step"]).select("c", "label", "shingles", "step", block.alias("block"))
+        dealt = work.save(dealt, "dealt")
+        spots = mixed.select("key", "c").join(dealt.select("c", "block", "step"), "c").select("key", "block", "step").distinct()
+        spots = work.save(spots, "spots")
+        side = lambda x: spots.select("key", F.col("block").alias(f"block_{x}"), F.col("step").alias(f"step_{x}"))
+        met = side("a").join(side("b"), "key").filter("block_a <= block_b and abs(step_a - step_b) <= 1")
+        units = work.save(met.select("block_a", "block_b").distinct(), "units")
+        each = units.select("block_a", "block_b", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+        held = each.join(dealt.drop("step"), "block").select("block_a", "block_b", "c", "label", "shingles")
+        held = held.repartition("block_a", "block_b").sortWithinPartitions("block_a", "block_b")
+        return work.save(held.mapInArrow(_verified(self.settings), "a binary, b binary").distinct(), "rest-links")
 
 
 def _grouped(docs: DataFrame, work: Work, settings: Settings) -> DataFrame:

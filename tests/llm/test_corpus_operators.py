@@ -209,10 +209,11 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("small", [32, 1])
+@pytest.mark.parametrize("small, block", [(32, 256), (1, 4)])
 @pytest.mark.parametrize("settings", [minhash_dedup.CONTRACT, minhash_dedup.DEFAULT])
-def test_near_copies_like_brute_force(docs, work, settings, small, monkeypatch):
+def test_near_copies_like_brute_force(docs, work, settings, small, block, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "SMALL", small)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
     texts = near_texts()
     ids = random.Random(1).sample(range(1000), len(texts))
     want = dict(zip(ids, grouped_like_brute_force(texts, ids, settings.shingle, settings.percent)))
@@ -222,6 +223,30 @@ def test_near_copies_like_brute_force(docs, work, settings, small, monkeypatch):
         assert ((r.n_shingles, r.component_id), r.kept) == (want[r.doc_id], r.doc_id == want[r.doc_id][1])
 
 
+def test_many_copies_just_under_the_threshold_like_brute_force(docs, work):
+    """500 texts whose pairs lie around the threshold: blocks verify them all, and no pair is missed."""
+    rng = random.Random(12)
+    base = prose(rng, 90).split()
+    texts = []
+    for _ in range(500):
+        own = list(base)
+        for at in rng.sample(range(90), rng.choice([1, 2, 2, 3])):
+            own[at] = f"w{rng.randint(0, 10**6)}"
+        texts.append(" ".join(own))
+    ids = rng.sample(range(10_000), len(texts))
+    want = dict(zip(ids, grouped_like_brute_force(texts, ids, 3, 85)))
+    rows = minhash_dedup.near_duplicates(docs(texts, ids).repartition(4), work, minhash_dedup.CONTRACT).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
+
+
+def test_overlaps_count_shared_shingles():
+    rng = np.random.default_rng(3)
+    sets = [set(rng.integers(0, 9000, rng.integers(1, 6000)).tolist()) for _ in range(9)]
+    member = np.concatenate([np.full(len(s), i) for i, s in enumerate(sets)])
+    shared = minhash_dedup.overlaps(member, np.concatenate([np.array(sorted(s)) for s in sets]), len(sets))
+    assert all(shared[i, j] == len(a & b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
 def test_texts_of_long_mirrored_words_are_not_linked(docs, work):
     word = "a"
     while len(word) < 2048:
