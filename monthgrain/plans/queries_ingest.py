@@ -19,7 +19,7 @@ from monthgrain.plans.queries_forecast import PRODUCTION_SQL
 from monthgrain.plans.queries_history import _checks_sql
 from monthgrain.plans.queries_rows import PANEL_FIELDS
 from monthgrain.session import durable, durable_root
-from monthgrain.sources import bond, ledger, rent, snapshots, staging, store
+from monthgrain.sources import bond, large_payload, ledger, rent, snapshots, staging, store
 
 SEEN_AT = "2001-08-01T00:00:00+00:00"
 REVISION_FROM = "2000-07-01"
@@ -114,10 +114,59 @@ def p04(d: DriverTables):
     return rent.map_rent_columns(items, SEEN_AT).drop("source_snapshot")
 
 
-@query("q02_rent_payload_checks")
+def _large_payload_path(d: DriverTables) -> str:
+    """All items as one payload over the whole calendar, one file."""
+    number = lambda c: F.col(c).cast("double")
+    item = F.struct(
+        F.col("area_name").alias("area"),
+        F.col("dwelling_type").alias("dwell"),
+        F.col("bedrooms").alias("nBedrms"),
+        number("bonds_lodged").alias("nLodged"),
+        F.lit(None).cast("double").alias("nClosed"),
+        (number("bonds_lodged") * 3).alias("nCurr"),
+        *[number("median_rent").alias(n) for n in rent.MEASURE_FIELDS],
+    )
+    market = durable(d.market, "market")
+    span = [F.date_format(f(c), "yyyy-M-d") for f, c in ((F.min, "period_start"), (F.max, "period_end"))]
+    opening = F.concat(F.lit('{"areaDefinition": "REGC2019", "periodCovered": "'), span[0], F.lit("/"), span[1], F.lit('", "items": ['))
+    text = F.to_json(item, {"ignoreNullFields": "false"})
+    lines = market.agg(F.lit(0).cast("long").alias("n"), opening.alias("value")).unionByName(
+        market.select((F.monotonically_increasing_id() + 1).alias("n"), text.alias("value"))
+    )
+    last = lines.agg(F.max("n")).first()[0]
+    comma = F.when((F.col("n") > 0) & (F.col("n") < last), ",").otherwise("")
+    path = _folder(d, "large-payload")
+    closing = d.spark.createDataFrame([(last + 1, "]}")], "n long, value string")
+    ordered = lines.unionByName(closing).coalesce(1).sortWithinPartitions("n")
+    ordered.select(F.concat("value", comma).alias("value")).write.text(path)
+    return path
+
+
+@query(
+    "s02_large_payload_scan",
+    """
+    SELECT (SELECT min(period_start) FROM q_market) AS period_start, (SELECT max(period_end) FROM q_market) AS period_end, area_definition,
+           area_name AS area, dwelling_type AS dwell, bedrooms AS "nBedrms", CAST(bonds_lodged AS DOUBLE) AS "nLodged", median_rent AS med
+    FROM q_market
+    """,
+)
+def s02_large(d: DriverTables):
+    items = rent.explode_items(large_payload.scan_large_payloads(d.spark, _large_payload_path(d)))
+    return items.select("period_start", "period_end", "area_definition", "area", "dwell", "nBedrms", "nLodged", "med")
+
+
+@query(
+    "q02_rent_payload_checks",
+    _checks_sql(
+        """SELECT count(*) FILTER (area_definition IS NULL OR period_start IS NULL) AS top_level_fields,
+        CASE WHEN count(*) = 0 THEN 1 ELSE 0 END AS items_present, 0 AS item_fields,
+        count(*) FILTER (trim(area_name) = '' OR trim(dwelling_type) = '' OR trim(bedrooms) = '') AS text_fields, 0 AS number_fields FROM q_market""",
+        ["top_level_fields", "items_present", "item_fields", "text_fields", "number_fields"],
+    ),
+)
 def q02(d: DriverTables):
     raw = rent.scan_payloads(d.spark, _payload_path(d), multi_line=False, raw_items=True)
-    return rent.payload_checks(raw)
+    return rent.payload_checks(raw).drop("details")
 
 
 @query(

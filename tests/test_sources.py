@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from monthgrain.contracts import ContractError
 from monthgrain.operators import reconcile
-from monthgrain.sources import bond, ledger, rent, snapshots, staging, store
+from monthgrain.sources import bond, large_payload, ledger, rent, snapshots, staging, store
 from monthgrain.streaming.snapshot_feed import follow_staging
 
 HEADER = ",".join(bond.RAW_COLUMNS)
@@ -123,6 +123,54 @@ def test_payload_checks(spark, tmp_path, items, check):
     assert set(failed(rent.payload_checks(raw))) == ({check} if check else set())
 
 
+ODD_TEXT = ['a}b', 'x]},{"items":[', "tail\\\\", 'quote " inside \\" }', "line\nbreak }", "é{ö}", "}" * 40]
+
+
+@pytest.mark.parametrize("piece", ["97b", "1k", "128m"])
+@pytest.mark.parametrize("shape", [{"indent": 1}, {"separators": (",", ":")}])
+def test_large_payload_has_the_rows_of_the_plain_scan(spark, tmp_path, piece, shape):
+    items = [item(area=f"{t} {i}", mean=None, note={"deep": [{"x": t}]}) for i, t in enumerate(ODD_TEXT * 6)]
+    for k, own in enumerate((items, items[:1])):
+        whole = {"areaDefinition": 'REG } "C"', "items": own, "periodCovered": "2026-7-1/2026-7-31"}
+        (tmp_path / f"statistics_{k}.json").write_text(json.dumps(whole, ensure_ascii=False, **shape) + "\n" * k)
+    plain = sorted(map(str, rent.explode_items(rent.scan_payloads(spark, str(tmp_path))).collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", piece)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0b")
+    try:
+        split = large_payload._fragments(spark, str(tmp_path)).rdd.getNumPartitions()
+        assert split > 20 or piece != "97b"
+        rows = rent.explode_items(large_payload.scan_large_payloads(spark, str(tmp_path)))
+        assert sorted(map(str, rows.collect())) == plain
+        raw = large_payload.scan_large_payloads(spark, str(tmp_path), raw_items=True)
+        assert raw.count() == len(items) + 1 and not failed(rent.payload_checks(raw))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize(
+    "text, rows",
+    [
+        ('{"areaDefinition": "R", "periodCovered": "p", "items": []}', [("R", "p", 0)]),
+        ('{"areaDefinition": "R", "periodCovered": "p"}\n', [("R", "p", None)]),
+        ('{"areaDefinition": "R", "items": [{"area": "x"}]', None),
+        ('{"areaDefinition": "R", "items": [{"area": "x"}', None),
+        ('{"areaDefinition": "R", "items": [{"area": "x"} {"area": "y"}]}', None),
+        ('{"areaDefinition": "R", "items": [{"area": "x"}, {"area": oops}]}', None),
+        ('{"areaDefinition": "R", "items": [{"area": "x"}], "more": [{"area": "y"}]}', None),
+        ('{"areaDefinition": "R", "items": [1, 2]}', None),
+    ],
+)
+def test_large_payload_fails_like_the_plain_scan(spark, tmp_path, text, rows):
+    (tmp_path / "statistics_1.json").write_text(text)
+    scan = lambda: large_payload.scan_large_payloads(spark, str(tmp_path)).collect()
+    if rows is None:
+        with pytest.raises(Exception, match="MALFORMED|parse"):
+            scan()
+    else:
+        assert [(r.areaDefinition, r.periodCovered, None if r["items"] is None else len(r["items"])) for r in scan()] == rows
+
+
 def test_rent_types_allow_missing_but_not_malformed(spark, tmp_path):
     payloads = rent.scan_payloads(spark, payload(tmp_path, [item(nLodged=4, nClosed=2, nCurr=3)]))
     rows = rent.map_rent_columns(rent.explode_items(payloads), AT)
