@@ -231,7 +231,9 @@ def captures(pages: DataFrame, work: Work, with_payload: bool = True, records_pe
     """
     firsts = work.save(first_copies(pages), "first_copies")
     write_pages(pages, work.path("warc"), firsts, records_per_file)
-    nested = assemble(read_records(pages.sparkSession, work.path("warc"), with_payload))
+    # archives are parsed once, and records joined once: both tables are read by several branches
+    records = work.save(read_records(pages.sparkSession, work.path("warc"), with_payload), "records")
+    nested = work.save(assemble(records), "captures")
     page = F.expr("try_cast(metadata.headers['page-id'] as bigint)")
     flat = nested.withColumns({"page_id": page, "original_id": F.col("response.refers_to")})
     originals = flat.filter("response.record_type = 'response'").groupBy(F.col("record_id").alias("original_id")).agg(
