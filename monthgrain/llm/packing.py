@@ -100,13 +100,7 @@ class RunEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.begin = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.known = tk.KnownRuns(np.uint32)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number per text.
@@ -135,39 +129,26 @@ class RunEncoder:
                 flats.append(flat)
                 counts.append(count)
                 order.append(part)
-        count, keys = np.concatenate(counts), keys[np.concatenate(order)]
-        begin = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, *flats])
-        by = np.argsort(keys)
-        place = np.searchsorted(self.keys, keys[by])
-        self.keys = np.insert(self.keys, place, keys[by])
-        self.begin = np.insert(self.begin, place, begin[by])
-        self.count = np.insert(self.count, place, count[by])
+        self.known.add(keys[np.concatenate(order)], np.concatenate(counts), np.concatenate(flats))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_token: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, each text closed by ``end_token``, and where each text begins."""
         data, start, end, owner = runs(data, offsets)
         keys, first, which = np.unique(tk.range_hash(tk.prefix(data), start, end), return_index=True, return_inverse=True)
-        if len(self.keys) > KNOWN_RUNS:
-            self._forget()
-        place = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == keys[inside]
-        if not known.all():
+        if len(self.known) > KNOWN_RUNS:
+            self.known = tk.KnownRuns(np.uint32)
+        new = self.known.missing(keys)
+        if new.any():
             raw = data.tobytes()
-            ask = first[~known]
-            self._learn(keys[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[ask].tolist(), end[ask].tolist())])
-            place = np.searchsorted(self.keys, keys)
+            ask = first[new]
+            self._learn(keys[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[ask].tolist(), end[ask].tolist())])
         n = len(offsets) - 1
-        count = self.count[place][which]
-        before = np.cumsum(count) - count
+        flat, count = self.known.expand(keys, which)
         sizes = np.bincount(owner, weights=count, minlength=n).astype(np.int64) + 1
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         out = np.full(bounds[-1], end_token, np.uint32)
-        at = np.arange(int(count.sum()))
-        source = at + np.repeat(self.begin[place][which] - before, count)
-        out[at + np.repeat(owner, count)] = self.ids[source]  # the texts before have added one end token each
+        # the texts before have added one end token each
+        out[np.arange(len(flat)) + np.repeat(owner, count)] = flat
         return out, bounds
 
 

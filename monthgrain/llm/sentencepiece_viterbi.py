@@ -6,9 +6,10 @@ hand was trained by merging: the library's merge order can give other ids on a w
 
 Text becomes the file's normal form (a leading and every space is U+2581; this file changes nothing else), which is cut
 wherever no piece holds the two characters that meet.  No piece crosses a cut, so equal words share one search: distinct
-words of a block are grouped by length and advance together.  For every end and start, the hashes of the substrings of all
-words of one length probe the sorted hashes of the pieces, and a running maximum keeps scores and backpointers.  Characters no
-piece covers cost the smallest score less ten and become their UTF-8 bytes.
+words of a block are grouped by length and advance together.  The hashes of all their substrings of one width probe the sorted
+hashes of the pieces at once; then, end by end, a maximum over the widths keeps scores and backpointers of all words.  Time and
+memory grow with the length of a word, however long.  Characters no piece covers cost the smallest score less ten and become
+their UTF-8 bytes.
 
 Defined results: null encodes to null and decodes to null, empty to an empty list and back; null ids, repeated rows and extra
 columns are kept as they are (columns named like the output are replaced); an empty table gives no rows.
@@ -35,6 +36,10 @@ COMMON = 1024
 IDS_TOGETHER = 200_000
 #: Words of one length that advance together.
 TOGETHER = 4096
+#: Cells (end, width, word) of one look-up table.
+CELLS = 1 << 18
+#: Bits below those that the bitmap of the piece keys is indexed by.
+_LEADING = np.uint64(64 - 20)
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15 | 1)
 
@@ -87,13 +92,9 @@ class Pieces:
         for x, y in pairs:
             if x < COMMON and y < COMMON:
                 self.common[x, y] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.words = np.zeros(0, _U)
-        self.begin = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.found = np.zeros(0, np.int32)
+        self.likely = np.zeros(1 << (64 - int(_LEADING)), bool)
+        self.likely[(self.keys >> _LEADING).astype(np.int64)] = True
+        self.known = tk.KnownRuns(np.int32)
 
     @staticmethod
     def key(text: str) -> int:
@@ -102,68 +103,87 @@ class Pieces:
             value = (value * int(_STEP) + ord(c) + 1) % (1 << 64)
         return int(tk.mix(np.array([value], _U) ^ _U(len(text)))[0])
 
-    def viterbi(self, words: np.ndarray) -> list[np.ndarray]:
-        """Ids of words of one length, given as rows of code points."""
+    def _table(self, codes: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the pieces that end at ``low`` … ``high`` - 1, one row per width, the longest first.
+
+        All substrings of one width are hashed and looked up at once; a bitmap of the keys' leading bits spares most searches.
+        """
+        n, widest = codes.shape[1], self.longest
+        first = max(0, low - widest)
+        score = np.full((high - low, widest, n), -np.inf)
+        ids = np.full((high - low, widest, n), -1, np.int32)
+        score[:, widest - 1] = self.unknown  # a character alone may be unknown
+        rolled = np.zeros((high - first, n), _U)
+        for width in range(1, min(widest, high - 1 - first) + 1):
+            starts = high - first - width
+            rolled = rolled[:starts] * _STEP + codes[first + width - 1 : first + width - 1 + starts] + _U(1)
+            skip = max(0, low - width - first)
+            value = tk.mix(rolled[skip:] ^ _U(width))
+            at, who = np.nonzero(self.likely[(value >> _LEADING).astype(np.int64)])
+            asked = value[at, who]
+            place = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+            hit = self.keys[place] == asked
+            at, who, place = at[hit] + (skip + first + width - low), who[hit], place[hit]
+            score[at, widest - width, who] = self.scores[place]
+            ids[at, widest - width, who] = self.ids[place]
+        return score, ids
+
+    def viterbi(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of words of one length, given as rows of code points, and their number per word."""
         n, length = words.shape
-        codes = words.astype(_U)
-        best = np.full((length + 1, n), -np.inf)
-        best[0] = 0
-        origin = np.zeros((length + 1, n), np.int32)
+        codes = np.ascontiguousarray(words.T).astype(_U)
+        widest = self.longest
+        best = np.full((widest + length + 1, n), -np.inf)
+        best[widest] = 0
+        width = np.zeros((length + 1, n), np.int32)
         piece = np.full((length + 1, n), -1, np.int32)
-        row = np.arange(n)
-        # starts in ascending order and strict improvement: of equal scores the earliest start stays
-        for start in range(length):
-            rolled = np.zeros(n, _U)
-            for width in range(1, min(self.longest, length - start) + 1):
-                rolled = rolled * _STEP + codes[:, start + width - 1] + _U(1)
-                value = tk.mix(rolled ^ _U(width))
-                place = np.minimum(np.searchsorted(self.keys, value), len(self.keys) - 1)
-                hit = self.keys[place] == value
-                other = self.unknown if width == 1 else -np.inf  # a character alone may be unknown
-                score = np.where(hit, self.scores[place], other) + best[start]
-                end = start + width
-                better = score > best[end]
-                best[end][better] = score[better]
-                origin[end][better] = start
-                piece[end][better] = np.where(hit, self.ids[place], -1)[better]
-        at = np.full(n, length)
-        steps: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        alive = row
-        while len(alive):
-            came, chosen = origin[at[alive], alive], piece[at[alive], alive]
-            steps.append((alive, came, chosen))
-            at[alive] = came
-            alive = alive[came > 0]
-        out: list[list[int]] = [[] for _ in range(n)]
-        for who, came, chosen in reversed(steps):
-            for w, s, p in zip(who.tolist(), came.tolist(), chosen.tolist()):
-                if p >= 0:
-                    out[w].append(p)
-                else:
-                    out[w].extend(self.byte_id[b] for b in chr(int(words[w, s])).encode("utf-8"))
-        return [np.array(x, np.int32) for x in out]
+        step = max(1, CELLS // (widest * n))
+        row = np.zeros((step, n), np.intp)
+        for low in range(1, length + 1, step):
+            high = min(low + step, length + 1)
+            score, ids = self._table(codes, low, high)
+            for end in range(low, high):
+                # starts in ascending order: of equal sums the earliest, that is the longest last piece, is found first
+                sums = score[end - low] + best[end : end + widest]
+                sums.argmax(axis=0, out=row[end - low])
+                sums.max(axis=0, out=best[end + widest])
+            width[low:high] = widest - row[: high - low]
+            piece[low:high] = np.take_along_axis(ids, row[: high - low, None], axis=1)[:, 0]
+        ends = np.zeros((length + 1, n), bool)
+        ends[length] = True
+        if n == 1:
+            back, end = width[:, 0].tolist(), length
+            while end:
+                end -= back[end]
+                ends[end] = True
+        for end in range(length, 0, -1) if n > 1 else ():
+            who = np.flatnonzero(ends[end])
+            ends[end - width[end, who], who] = True
+        who, end = np.nonzero(ends[1:].T)
+        chosen = piece[end + 1, who]
+        size = np.ones(len(chosen), np.int64)
+        unknown = np.flatnonzero(chosen < 0)
+        spelt = [self.byte_id[np.frombuffer(chr(c).encode("utf-8"), np.uint8)] for c in words[who[unknown], end[unknown]].tolist()]
+        size[unknown] = [len(x) for x in spelt]
+        flat = np.repeat(chosen, size)
+        if spelt:
+            flat[flat < 0] = np.concatenate(spelt)
+        return flat, np.bincount(who, weights=size, minlength=n).astype(np.int64)
 
     def _learn(self, keys: np.ndarray, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Search new distinct words, equal lengths together, and add them to the table."""
         length = end - start
-        ids: list[np.ndarray] = []
-        order: list[np.ndarray] = []
+        flats, counts, order = [], [], []
         for n in np.unique(length).tolist():
             same = np.flatnonzero(length == n)
             together = max(1, min(TOGETHER, (1 << 21) // n))
             for i in range(0, len(same), together):
                 part = same[i : i + together]
-                ids += self.viterbi(codes[start[part][:, None] + np.arange(n)])
+                flat, count = self.viterbi(codes[start[part][:, None] + np.arange(n)])
+                flats.append(flat)
+                counts.append(count)
                 order.append(part)
-        keys = keys[np.concatenate(order)]
-        count = np.fromiter(map(len, ids), np.int64, len(ids))
-        begin = len(self.found) + np.cumsum(count) - count
-        self.found = np.concatenate([self.found, *ids])
-        by = np.argsort(keys)
-        place = np.searchsorted(self.words, keys[by])
-        self.words = np.insert(self.words, place, keys[by])
-        self.begin = np.insert(self.begin, place, begin[by])
-        self.count = np.insert(self.count, place, count[by])
+        self.known.add(keys[np.concatenate(order)], np.concatenate(counts), np.concatenate(flats))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of each text of a block; all words of the block are cut and looked up together."""
@@ -185,16 +205,12 @@ class Pieces:
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(codes))
         keys, first, which = np.unique(tk.range_hash(tk.prefix(codes), start, end), return_index=True, return_inverse=True)
-        if len(self.words) > KNOWN_WORDS:
-            self._forget()
-        place = np.minimum(np.searchsorted(self.words, keys), max(len(self.words) - 1, 0))
-        known = self.words[place] == keys if len(self.words) else np.zeros(len(keys), bool)
-        if not known.all():
-            self._learn(keys[~known], codes, start[first[~known]], end[first[~known]])
-            place = np.searchsorted(self.words, keys)
-        count = self.count[place][which]
-        before = np.cumsum(count) - count
-        flat = self.found[np.arange(int(count.sum())) + np.repeat(self.begin[place][which] - before, count)]
+        if len(self.known) > KNOWN_WORDS:
+            self.known = tk.KnownRuns(np.int32)
+        new = self.known.missing(keys)
+        if new.any():
+            self._learn(keys[new], codes, start[first[new]], end[first[new]])
+        flat, count = self.known.expand(keys, which)
         bounds = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, np.concatenate([[0], ends]))]
         return [None if t is None else flat[a:b] for t, a, b in zip(texts, bounds.tolist(), bounds[1:].tolist())]
 

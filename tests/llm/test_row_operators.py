@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from monthgrain.llm import packing, pii, quality_rules, sentencepiece_viterbi, url_filter
+from monthgrain.llm import packing, pii, quality_rules, sentencepiece_viterbi, textkernel, url_filter
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -151,8 +151,7 @@ def test_sentencepiece_against_brute_force_and_back(docs):
     import sentencepiece
 
     rng = random.Random(4)
-    texts = [t if t is None or len(t) < 5000 else t[:5000] for t in ODD]
-    texts += ["a  b", "   lead", "trail  ", "tab\there\nnl", "<s> </s> <0x41>", "ﬁ ™ x́"]
+    texts = [*ODD, "a" * 200_000, "漢" * 3000, "a  b", "   lead", "trail  ", "tab\there\nnl", "<s> </s> <0x41>", "ﬁ ™ x́"]
     texts += [" ".join("".join(rng.choice("abcdeflnostäß.,") for _ in range(rng.randint(1, 14))) for _ in range(25)) for _ in range(40)]
     coded = sentencepiece_viterbi.encode(docs(texts).withColumn("ids", F.lit("clash")))
     pieces = sentencepiece_viterbi.Pieces(sentencepiece_viterbi.MODEL)
@@ -167,6 +166,27 @@ def test_sentencepiece_against_brute_force_and_back(docs):
     assert sentencepiece_viterbi.encode(docs([])).count() == 0
 
 
+def test_known_runs_grow_like_a_dictionary():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    held, want = textkernel.KnownRuns(np.int32), {}
+    for block in range(60):
+        keys = np.unique(rng.integers(0, 4000, 100).astype(np.uint64))
+        new = held.missing(keys)
+        assert new.tolist() == [k not in want for k in keys.tolist()]
+        count = rng.integers(0, 4, int(new.sum()))
+        flat = rng.integers(0, 99, int(count.sum())).astype(np.int32)
+        ends = np.cumsum(count)
+        want.update((k, flat[e - n : e].tolist()) for k, e, n in zip(keys[new].tolist(), ends.tolist(), count.tolist()))
+        held.add(keys[new], count, flat)
+        which = rng.integers(0, len(keys), 50)
+        ids, sizes = held.expand(keys, which)
+        assert ids.tolist() == [i for k in keys[which].tolist() for i in want[k]]
+        assert sizes.tolist() == [len(want[k]) for k in keys[which].tolist()]
+    assert len(held) == len(want) and len(held.runs) < 12
+
+
 def luhn(digits):
     total = 0
     for i, c in enumerate(reversed(digits)):
