@@ -137,13 +137,16 @@ class RunEncoder:
         keys, first, which = np.unique(tk.range_hash(tk.prefix(data), start, end), return_index=True, return_inverse=True)
         if len(self.known) > KNOWN_RUNS:
             self.known = tk.KnownRuns(np.uint32)
-        new = self.known.missing(keys)
+        begin, count = self.known.find(keys)
+        new = count < 0
         if new.any():
             raw = data.tobytes()
             ask = first[new]
             self._learn(keys[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[ask].tolist(), end[ask].tolist())])
+            begin[new], count[new] = self.known.find(keys[new])
         n = len(offsets) - 1
-        flat, count = self.known.expand(keys, which)
+        count = count[which]
+        flat = self.known.expand(begin[which], count)
         sizes = np.bincount(owner, weights=count, minlength=n).astype(np.int64) + 1
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         out = np.full(bounds[-1], end_token, np.uint32)

@@ -37,7 +37,7 @@ IDS_TOGETHER = 200_000
 #: Words of one length that advance together.
 TOGETHER = 4096
 #: Cells (end, width, word) of one look-up table.
-CELLS = 1 << 18
+CELLS = 1 << 16
 #: Bits below those that the bitmap of the piece keys is indexed by.
 _LEADING = np.uint64(64 - 20)
 _U = np.uint64
@@ -207,10 +207,13 @@ class Pieces:
         keys, first, which = np.unique(tk.range_hash(tk.prefix(codes), start, end), return_index=True, return_inverse=True)
         if len(self.known) > KNOWN_WORDS:
             self.known = tk.KnownRuns(np.int32)
-        new = self.known.missing(keys)
+        begin, count = self.known.find(keys)
+        new = count < 0
         if new.any():
             self._learn(keys[new], codes, start[first[new]], end[first[new]])
-        flat, count = self.known.expand(keys, which)
+            begin[new], count[new] = self.known.find(keys[new])
+        count = count[which]
+        flat = self.known.expand(begin[which], count)
         bounds = np.concatenate([[0], np.cumsum(count)])[np.searchsorted(start, np.concatenate([[0], ends]))]
         return [None if t is None else flat[a:b] for t, a, b in zip(texts, bounds.tolist(), bounds[1:].tolist())]
 

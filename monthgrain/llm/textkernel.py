@@ -230,7 +230,7 @@ def repeated(owner: np.ndarray, value: np.ndarray) -> np.ndarray:
 class KnownRuns:
     """Ids of the distinct words that a task has met, by hash.
 
-    New words become a sorted run of their own; a run is merged into the one before once it is as long, so that a word is copied
+    New words become a sorted run of their own; a run is merged into the one before unless that is over four times as long, so that a word is copied
     a logarithmic number of times while the table grows.
     """
 
@@ -242,23 +242,23 @@ class KnownRuns:
     def __len__(self) -> int:
         return sum(len(keys) for keys, _, _ in self.runs)
 
-    def _places(self, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        for known, begin, count in self.runs:
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word begin, and how many they are; -1 for a word that is not known."""
+        begin, count = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        for known, start, size in self.runs:
             place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            yield known[place] == keys, place, begin, count
-
-    def missing(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for hit, *_ in self._places(keys):
-            out &= ~hit
-        return out
+            hit = np.flatnonzero(known[place] == keys)
+            begin[hit], count[hit] = start[place[hit]], size[place[hit]]
+        return begin, count
 
     def add(self, keys: np.ndarray, count: np.ndarray, flat: np.ndarray) -> None:
         """New distinct keys, none of them known, with their ids one after the other."""
         if not len(keys):
             return
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        if self.used + len(flat) > len(self.ids):
+            grown = np.empty(2 * (self.used + len(flat)), self.ids.dtype)
+            grown[: self.used] = self.ids[: self.used]
+            self.ids = grown
         self.ids[self.used : self.used + len(flat)] = flat
         run = (keys, self.used + np.cumsum(count) - count, count)
         self.used += len(flat)
@@ -266,16 +266,12 @@ class KnownRuns:
         while merge:
             order = np.argsort(run[0], kind="stable")
             run = tuple(column[order] for column in run)
-            merge = bool(self.runs) and len(self.runs[-1][0]) <= len(run[0])
+            merge = bool(self.runs) and len(self.runs[-1][0]) <= 4 * len(run[0])
             if merge:
                 run = tuple(np.concatenate(pair) for pair in zip(self.runs.pop(), run))
         self.runs.append(run)
 
-    def expand(self, keys: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the known words ``keys[which]``, and their number per word."""
-        begin, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        for hit, place, start, size in self._places(keys):
-            begin[hit], count[hit] = start[place[hit]], size[place[hit]]
-        begin, count = begin[which], count[which]
+    def expand(self, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Ids of a sequence of words, given as ``find`` tells them."""
         before = np.cumsum(count) - count
-        return self.ids[np.arange(int(count.sum())) + np.repeat(begin - before, count)], count
+        return self.ids[np.arange(int(count.sum())) + np.repeat(begin - before, count)]

@@ -173,7 +173,7 @@ def test_known_runs_grow_like_a_dictionary():
     held, want = textkernel.KnownRuns(np.int32), {}
     for block in range(60):
         keys = np.unique(rng.integers(0, 4000, 100).astype(np.uint64))
-        new = held.missing(keys)
+        new = held.find(keys)[1] < 0
         assert new.tolist() == [k not in want for k in keys.tolist()]
         count = rng.integers(0, 4, int(new.sum()))
         flat = rng.integers(0, 99, int(count.sum())).astype(np.int32)
@@ -181,8 +181,8 @@ def test_known_runs_grow_like_a_dictionary():
         want.update((k, flat[e - n : e].tolist()) for k, e, n in zip(keys[new].tolist(), ends.tolist(), count.tolist()))
         held.add(keys[new], count, flat)
         which = rng.integers(0, len(keys), 50)
-        ids, sizes = held.expand(keys, which)
-        assert ids.tolist() == [i for k in keys[which].tolist() for i in want[k]]
+        begin, sizes = (column[which] for column in held.find(keys))
+        assert held.expand(begin, sizes).tolist() == [i for k in keys[which].tolist() for i in want[k]]
         assert sizes.tolist() == [len(want[k]) for k in keys[which].tolist()]
     assert len(held) == len(want) and len(held.runs) < 12
 
