@@ -1,8 +1,9 @@
-"""Additive damped exponential smoothing with additive seasonality, fitted on a parameter grid.
+"""Additive damped exponential smoothing with additive seasonality, fitted on a parameter grid and, if asked, refined from there.
 
 The start state depends on the first two seasons only, so the state after ``t`` months is the same
 whichever origin asks for it. One fold over a series therefore serves all of its origins: the fold
 emits a forecast at each origin as it passes, instead of refitting every (series, origin) pair.
+With ``steps``, each (series, origin) pair starts from its grid point and refines parameters and start state (``refinement``).
 
 The recursion is the one part of the engine that has no built-in expression fast enough: interpreted
 array folds cost tens of microseconds per month and grid point, Arrow blocks a few nanoseconds.
@@ -30,6 +31,7 @@ from monthgrain.contracts import (
     SERIES_ATTRS,
 )
 from monthgrain.functions.parsing import month_number
+from monthgrain.operators import refinement
 from monthgrain.operators.seasonal_naive import ERROR_COLUMNS, future_periods, with_errors
 
 Parameters = tuple[float, float, float, float]
@@ -41,6 +43,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # series folded together inside a task: keeps the working arrays in cache
 SERIES_PER_BLOCK = 256
+# the same for refined fits, which carry derivatives: 32 series x 12 origins x 18 unknowns x 100 months are 55 MB
+REFINED_PER_BLOCK = 32
+#: Trial steps of a refined fit; most finish earlier.
+STEPS = 40
 
 
 def _series_arrays(history: DataFrame, season: int) -> DataFrame:
@@ -119,11 +125,26 @@ def _best_fits(y: np.ndarray, first: np.ndarray, last: np.ndarray, grid: np.ndar
             yield i + 1, rows, point, sse[at], path
 
 
+def _refined_fits(y: np.ndarray, first: np.ndarray, last: np.ndarray, grid: np.ndarray, horizon: int, season: int, steps: int):
+    """All fits of ``y``'s rows at once: ``(train_rows, row numbers, unknowns, sse, forecast path)``, one entry per fit."""
+    found = [(np.full(rows.size, n), rows, point) for n, rows, point, _, _ in _best_fits(y, first, last, grid, horizon, season)]
+    if not found:
+        return None
+    n, rows, point = (np.concatenate(part) for part in zip(*found))
+    level, trend, offsets = _state_path(y, season)
+    start = np.concatenate([grid[point], level[rows, None], trend[rows, None], offsets[rows]], axis=1)
+    values = np.nan_to_num(y)[rows]
+    unknowns, sse = refinement.refine(values, n, start, season, steps)
+    return n, rows, unknowns, sse, refinement.paths(values, n, unknowns, horizon, season)
+
+
 def fit_paths(
-    arrays: DataFrame, first: Column, last: Column, grid: Sequence[Parameters], horizon: int, season: int
+    arrays: DataFrame, first: Column, last: Column, grid: Sequence[Parameters], horizon: int, season: int, steps: int = 0
 ) -> DataFrame:
     """Best grid point, forecast path and actual values for every series and training length.
 
+    ``start`` holds level, trend and seasonal offsets before the first month; with ``steps`` it is refined with the parameters.
+
     Series arrive as Arrow batches. Inside a task the recursion runs over months only: each step is a
     handful of array operations on a (series x grid point) block, so the work per series is small and
     no grid copies of a series are shuffled. Grid points are ordered, so the first minimum is the tie rule.
@@ -135,11 +156,11 @@ def fit_paths(
         [fields[c] for c in carried]
         + [StructField("train_rows", IntegerType())]
         + [StructField(c, DoubleType()) for c in ("sse", "alpha", "beta", "gamma", "phi")]
-        + [StructField(c, ArrayType(DoubleType())) for c in ("path", "actuals")]
+        + [StructField(c, ArrayType(DoubleType())) for c in ("path", "actuals", "start")]
     )
 
     def lists(block: np.ndarray) -> pa.Array:
-        ends = np.arange(0, block.size + 1, horizon, dtype=np.int32)
+        ends = np.arange(0, block.size + 1, block.shape[1], dtype=np.int32)
         return pa.ListArray.from_arrays(ends, pa.array(block.ravel(), from_pandas=True))
 
     def fit_block(block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -150,21 +171,34 @@ def fit_paths(
         lo, hi = (block.column(c).to_numpy() for c in ("_first", "_last"))
         if not np.isfinite(values.flatten().to_numpy(zero_copy_only=False)).all():
             raise ValueError("smoothing values must be finite")
-        for train_rows, rows, point, sse, path in _best_fits(y[:, : int(sizes.max())], lo, hi, points, horizon, season):
+        known = y[:, : int(sizes.max())]
+        if steps:
+            fits = [_refined_fits(known, lo, hi, points, horizon, season, steps)]
+        else:
+            before = np.column_stack(_state_path(known, season))
+            fits = (
+                (np.full(rows.size, n), rows, np.concatenate([points[point], before[rows]], axis=1), sse, path)
+                for n, rows, point, sse, path in _best_fits(known, lo, hi, points, horizon, season)
+            )
+        for train_rows, rows, unknowns, sse, path in filter(None, fits):
             kept = block.select(carried).take(pa.array(rows))
+            ahead = train_rows[:, None] + np.arange(horizon)
             new = [
-                pa.array(np.full(rows.size, train_rows, dtype=np.int32)),
+                pa.array(train_rows.astype(np.int32)),
                 pa.array(sse),
-                *[pa.array(points[point, k]) for k in range(4)],
+                *[pa.array(unknowns[:, k]) for k in range(4)],
                 lists(path),
-                lists(y[rows, train_rows : train_rows + horizon]),
+                lists(y[rows[:, None], ahead]),
+                lists(unknowns[:, 4:]),
             ]
             yield pa.RecordBatch.from_arrays([*kept.columns, *new], names=[f.name for f in schema.fields])
 
+    together = REFINED_PER_BLOCK if steps else SERIES_PER_BLOCK
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, SERIES_PER_BLOCK):
-                yield from fit_block(batch.slice(start, SERIES_PER_BLOCK))
+            for start in range(0, batch.num_rows, together):
+                yield from fit_block(batch.slice(start, together))
 
     inputs = arrays.select(*carried, "y", first.cast("int").alias("_first"), last.cast("int").alias("_last"))
     return inputs.mapInArrow(fit, schema)
@@ -177,14 +211,15 @@ def smoothing_backtest(
     min_history: int = MIN_HISTORY_MONTHS,
     season: int = SEASON,
     grid: Iterable[Parameters] = GRID,
+    steps: int = 0,
 ) -> DataFrame:
-    """Rolling-origin predictions of every series."""
+    """Rolling-origin predictions of every series; ``steps`` refines each fit from its grid point."""
     arrays = _series_arrays(panel, season)
     n = F.col("_n").cast("int")
     short = F.raise_error(F.lit("too few months for a rolling-origin window")).cast("int")
     last = F.when(n < min_history + horizon, short).otherwise(n - horizon)
     first = F.greatest(F.lit(min_history), n - horizon - n_origins + 1)
-    fitted = fit_paths(arrays, first, last, tuple(grid), horizon, season)
+    fitted = fit_paths(arrays, first, last, tuple(grid), horizon, season, steps)
     pairs = F.arrays_zip("path", "actuals")
     steps = fitted.select("series_id", *SERIES_ATTRS, "_start", "train_rows", F.posexplode(pairs).alias("_step", "_pair"))
     step = (F.col("_step") + 1).cast("int")
@@ -202,20 +237,21 @@ def smoothing_backtest(
     ).select(*PREDICTION_COLUMNS, *ERROR_COLUMNS)
 
 
-def smoothing_fits(panel: DataFrame, grid: Iterable[Parameters] = GRID, season: int = SEASON) -> DataFrame:
-    """Chosen parameters and squared error of every series fitted on its whole history."""
+def smoothing_fits(panel: DataFrame, grid: Iterable[Parameters] = GRID, season: int = SEASON, steps: int = 0) -> DataFrame:
+    """Chosen parameters and squared error of every series fitted on its whole history; refined fits carry their start state."""
     arrays = _series_arrays(panel, season)
     n = F.col("_n").cast("int")
-    return fit_paths(arrays, n, n, tuple(grid), 1, season).select("series_id", "train_rows", "sse", "alpha", "beta", "gamma", "phi")
+    shown = ["series_id", "train_rows", "sse", "alpha", "beta", "gamma", "phi", *(["start"] if steps else [])]
+    return fit_paths(arrays, n, n, tuple(grid), 1, season, steps).select(*shown)
 
 
 def smoothing_forward(
-    history: DataFrame, horizon: int = HORIZON, grid: Iterable[Parameters] = GRID, season: int = SEASON
+    history: DataFrame, horizon: int = HORIZON, grid: Iterable[Parameters] = GRID, season: int = SEASON, steps: int = 0
 ) -> DataFrame:
-    """Forward forecasts from the whole history; all series must end in the same month."""
+    """Forward forecasts from the whole history; all series must end in the same month. ``steps`` refines as in the backtest."""
     arrays = _series_arrays(history, season)
     n = F.col("_n").cast("int")
-    fitted = fit_paths(arrays, n, n, tuple(grid), horizon, season)
+    fitted = fit_paths(arrays, n, n, tuple(grid), horizon, season, steps)
     steps = fitted.select("series_id", *SERIES_ATTRS, F.posexplode("path").alias("_step", "predicted"))
     calendar = F.broadcast(future_periods(history, horizon))  # one row per forecast month
     return (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from monthgrain import contracts as C
+from monthgrain.functions.scoring import error_metrics
 from monthgrain.operators import checks, comparison, joins, policy, production, seasonal_naive, smoothing
 from monthgrain.operators.residual_anomalies import winner_predictions
 from monthgrain.plans.catalogue import query
@@ -35,6 +36,30 @@ def m05(d: DriverTables):
     return d.smoothed
 
 
+@query("m05_fitted_backtest", rounded=["predicted", "error", "absolute_error", "squared_error"])
+def m05_fitted(d: DriverTables):
+    return smoothing.smoothing_backtest(d.selected, steps=smoothing.STEPS)
+
+
+@query("m05_fitted_gain")
+def m05_gain(d: DriverTables):
+    """Squared training error of the grid point and of the fit refined from it, for every series."""
+    history = d.modelled
+    grid = smoothing.smoothing_fits(history).select("series_id", F.col("sse").alias("grid_sse"))
+    return smoothing.smoothing_fits(history, steps=smoothing.STEPS).join(grid, "series_id")
+
+
+@query("m05_fitted_errors")
+def m05_errors(d: DriverTables):
+    """Out-of-sample errors of grid and refined fits by metric and forecast step."""
+    frames = [
+        smoothing.smoothing_backtest(d.modelled, steps=steps).withColumn("fit", F.lit(name))
+        for name, steps in (("grid", 0), ("refined", smoothing.STEPS))
+    ]
+    rows = frames[0].unionByName(frames[1])
+    return rows.groupBy("fit", "metric", "horizon_step").agg(F.count(F.lit(1)).alias("n_forecasts"), *error_metrics())
+
+
 FIXED_POINT = (0.3, 0.15, 0.15, 0.9)
 
 
@@ -353,6 +378,11 @@ def m11(d: DriverTables):
     return smoothing.smoothing_forward(d.modelled)
 
 
+@query("m11_fitted_forward", rounded=["predicted"])
+def m11_fitted(d: DriverTables):
+    return smoothing.smoothing_forward(d.modelled, steps=smoothing.STEPS)
+
+
 WINNER_FORWARD_SQL = """
 SELECT f.series_id, f.metric, f.geography_level, f.location_id, f.location_name, f.model, f.forecast_origin, f.forecast_period,
        f.horizon_step, f.predicted, w.best_mae AS backtest_mae, w.best_rmse AS backtest_rmse, w.best_smape AS backtest_smape

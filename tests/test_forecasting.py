@@ -15,6 +15,7 @@ from monthgrain.operators import (
     policy,
     pooled,
     production,
+    refinement,
     seasonal_naive,
     smoothing,
     splits,
@@ -169,6 +170,77 @@ def test_smoothing_fit_and_forward(make_panel):
     assert rows[0].forecast_period == month("2015-01-01", 80) and rows[0].model == MODEL_SMOOTHING
 
 
+def plain_fold(y, point, start, horizon, season=12):
+    """Squared error and forecasts of one series from given parameters and start state."""
+    (al, be, ga, ph), level, trend, s, sse = point, start[0], start[1], list(start[2:]), 0.0
+    for i, v in enumerate(y):
+        drift = ph * trend
+        e = v - (level + drift + s[i % season])
+        level, trend = level + drift + al * e, drift + al * be * e
+        s[i % season] += ga * e
+        sse += e * e
+    damps = [sum(ph ** (k + 1) for k in range(h + 1)) for h in range(horizon)]
+    return sse, [level + trend * damps[h] + s[(len(y) + h) % season] for h in range(horizon)]
+
+
+def noisy(n, seed, base=300.0):
+    rng = np.random.default_rng(seed)
+    walk = np.cumsum(rng.normal(0.4, 2.0, n))
+    return [float(base + walk[i] + 12 * np.sin(i * np.pi / 6) + rng.normal(0, 4)) for i in range(n)]
+
+
+def test_refined_fits_are_local_optima_inside_the_bounds(make_panel):
+    data = {1: noisy(80, 1), 2: noisy(95, 2, 60.0), 3: seasonal(66, base=9, amplitude=1), 4: [50.0] * 70}
+    df = make_panel(*[series_rows(v, location=k) for k, v in data.items()])
+    grid = {r.series_id: r for r in smoothing.smoothing_fits(df).collect()}
+    fits = {r.series_id: r for r in smoothing.smoothing_fits(df, steps=200).collect()}
+    rng = np.random.default_rng(5)
+    for k, y in data.items():
+        name = f"region_{k}_median_rent"
+        fit = fits[name]
+        point = np.array([fit.alpha, fit.beta, fit.gamma, fit.phi])
+        assert (point >= refinement.BOUNDS[:, 0]).all() and (point <= refinement.BOUNDS[:, 1]).all()
+        assert fit.gamma <= 1 - fit.alpha and fit.sse <= grid[name].sse
+        sse, _ = plain_fold(y, point, fit.start, 1)
+        assert np.isclose(sse, fit.sse, rtol=1e-9, atol=1e-12)
+        if k <= 2:
+            assert fit.sse < 0.9 * grid[name].sse
+            for _ in range(300):  # no small step inside the bounds is clearly better
+                moved = np.clip(point + rng.normal(0, 1e-3, 4), refinement.BOUNDS[:, 0], refinement.BOUNDS[:, 1])
+                moved[2] = min(moved[2], 1 - moved[0])
+                near, _ = plain_fold(y, moved, np.array(fit.start) + rng.normal(0, 1e-2, 14), 1)
+                assert near >= sse * (1 - 1e-5)
+
+
+def test_refinement_slopes_match_difference_quotients():
+    y = np.array([noisy(60, 3), noisy(60, 4)])
+    n = np.array([60, 41])
+    p = np.concatenate([[[0.3, 0.2, 0.1, 0.9]] * 2, y[:, :14] * 0 + 5.0], axis=1)
+    errors, slopes = refinement.fold(y, n, p, 12)
+    assert (errors[1, 41:] == 0).all() and (slopes[1, 41:] == 0).all()
+    for k in range(p.shape[1]):
+        up, down = p.copy(), p.copy()
+        up[:, k] += 1e-6
+        down[:, k] -= 1e-6
+        quotient = (refinement.fold(y, n, up, 12, False)[0] - refinement.fold(y, n, down, 12, False)[0]) / 2e-6
+        assert np.allclose(slopes[:, :, k], quotient, rtol=1e-4, atol=1e-4)
+
+
+def test_refined_backtest_is_whole_repeatable_and_blind_to_the_future(make_panel):
+    y = noisy(84, 9)
+    df = make_panel(series_rows(y), series_rows(noisy(90, 10), location=2))
+    keyed = lambda d: {(r.location_id, r.origin, r.horizon_step): r.predicted for r in smoothing.smoothing_backtest(d, steps=20).collect()}
+    base = keyed(df)
+    assert len(base) == len(smoothing.smoothing_backtest(df).collect()) == 2 * 12 * 6 and base == keyed(df)
+    other = keyed(make_panel(series_rows(y[:-6] + [1e6] * 6), series_rows(noisy(90, 10), location=2)))
+    early = {k: v for k, v in base.items() if k[0] == 1 and k[1] <= month("2015-01-01", 77)}
+    assert early and all(np.isclose(other[k], v, rtol=1e-9) for k, v in early.items())
+    forward = smoothing.smoothing_forward(make_panel(series_rows(y)), steps=20).orderBy("horizon_step").collect()
+    fit = smoothing.smoothing_fits(make_panel(series_rows(y)), steps=20).first()
+    _, path = plain_fold(y, (fit.alpha, fit.beta, fit.gamma, fit.phi), fit.start, 6)
+    assert np.allclose([r.predicted for r in forward], path, rtol=1e-9)
+
+
 def test_smoothing_does_not_see_the_future(make_panel):
     y = seasonal(80)
     keyed = lambda df: {(r.origin, r.horizon_step): r.predicted for r in smoothing.smoothing_backtest(df).collect()}
