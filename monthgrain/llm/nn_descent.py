@@ -7,7 +7,8 @@ meet; pairs with a link that is new since the last round are measured in double
 vectors, and what beats a node's current neighbours enters the next round's top ``k``.  Rounds stop when few links change.
 
 A query starts at its own node, keeps the ``beam`` nearest nodes seen, expands those not yet expanded along links in both
-directions, and stops when all are; all queries walk together, one join per step.  Distances there are Euclidean in double
+directions, and stops when all are; all queries walk together, one join per step.  A node that has left the ``beam`` cannot come
+back, so every node is expanded at most once and each walk ends by itself.  Distances there are Euclidean in double
 precision on the original vectors, and members of equal vectors are added at the end, smallest ids first.
 
 Sampling of reverse neighbours (``reverse``) is part of the method; recall is measured in the tests against brute force.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,6 @@ class Settings:
     rounds: int = 8
     settled: float = 0.004
     beam: int = 60
-    steps: int = 20
     seed: int = 20
 
 
@@ -203,7 +204,7 @@ def walk(starts: DataFrame, nodes: DataFrame, graph: DataFrame, work: Work, sett
     state = queries.select("q", F.col("q").alias("node"), F.lit(0.0).alias("score"), F.lit(False).alias("done"))
     state = work.save(state, "walk-0")
     order = W.partitionBy("q").orderBy("score", "node")
-    for i in range(1, settings.steps + 1):
+    for i in count(1):
         front = state.filter(~F.col("done")).select("q", "node")
         met = front.join(links, front.node == links.u).select("q", F.col("v").alias("node")).distinct()
         fresh = met.join(state.select("q", "node"), ["q", "node"], "left_anti")
