@@ -200,6 +200,31 @@ def s04(d: DriverTables):
     return found.select("file_name", "file_size_bytes", "checksum_sha256")
 
 
+@query(
+    "s04_snapshot_digests",
+    """
+    SELECT year, CAST(octet_length(encode(body)) AS BIGINT) AS file_size_bytes, sha256(body) AS checksum_sha256
+    FROM (
+      SELECT CAST(year(period_date) AS INTEGER) AS year, string_agg(line, chr(10) ORDER BY line) || chr(10) AS body
+      FROM (SELECT period_date, concat_ws(',', strftime(period_date, '%Y-%m-%d'), geography_level, location_id, location_name,
+                   bonds_lodged) AS line FROM q_clean)
+      GROUP BY year(period_date))
+    """,
+)
+def s04_digests(d: DriverTables):
+    """Size and digest of files whose every byte SQL can state: one file a year, its lines in order."""
+    path = _folder(d, "plain-snapshots")
+    day = F.date_format("period_date", "yyyy-MM-dd")
+    line = F.concat_ws(",", day, "geography_level", "location_id", "location_name", "bonds_lodged")
+    # a year holds twelve lines a place
+    lines = F.concat_ws("\n", F.sort_array(F.collect_list(line)))
+    years = d.clean.groupBy(F.year("period_date").alias("year")).agg(lines.alias("value"))
+    years.write.partitionBy("year").text(path)
+    found = snapshots.scan_snapshots(d.spark, path, "*.txt")
+    year = F.regexp_extract("path", "year=([0-9]+)/", 1).cast("int")
+    return found.select(year.alias("year"), "file_size_bytes", "checksum_sha256")
+
+
 def _snapshot_files(d: DriverTables) -> DataFrame:
     """One raw snapshot per (level, year) of the observations, with an identity and a checksum."""
     months = d.clean.where(F.col("location_id") > 0).groupBy("geography_level", F.year("period_date").alias("year")).agg(
