@@ -42,7 +42,7 @@ MIN_DOCUMENTS = 3
 MAX_INTEGER = (1 << 31) - 1
 SCALE = 1_000_000_000
 TOP = 200
-#: Distinct terms that one vocabulary may hold; the sketch's error is allowed for.
+#: Kept terms that one vocabulary may hold.
 TERMS = 1 << 20
 _OUTSIDE = np.ones(256, bool)
 _OUTSIDE[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -55,17 +55,6 @@ def _cut(text: str) -> Column:
     return F.array_remove(F.split(F.translate(text, UPPER, LOWER), BETWEEN), "")
 
 
-def _shards(rows: DataFrame) -> dict[int, int]:
-    """Vectorizers that each language needs.
-
-    A term of at least three documents is in a sample of one document in eight with a chance of at least 1 - (7/8)^3, so the
-    distinct terms of the sample bound those that a vocabulary will hold.
-    """
-    some = rows.filter(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).select("lang_no", F.explode(_cut("text")).alias("term"))
-    seen = some.groupBy("lang_no").agg(F.approx_count_distinct("term", 0.02).alias("n")).collect()
-    return {r.lang_no: 1 + int(r.n * 1.1 / (1 - (7 / 8) ** MIN_DOCUMENTS)) // TERMS for r in seen}
-
-
 def _fitted(rows: DataFrame, no: int, shard: int, shards: int, work: Work) -> str:
     """Folder of the vectorizer of one language and shard."""
     terms = _cut("text")
@@ -87,6 +76,29 @@ def _term_hash(data: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> tuple
     return tk.mix(plain + tk.mix(lang.astype(np.uint64))[owner]), owner
 
 
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang_no, term, n): in how many texts of a block each term of a language is."""
+    for block in tk.blocks(batches, "text", 1 << 21):
+        lang = block.column(0).to_numpy(zero_copy_only=False)
+        value, owner = _term_hash(*tk.flat(block.column(1)), lang)
+        order = np.lexsort((owner, value))
+        value, owner = value[order], owner[order]
+        first = np.ones(len(value), bool)
+        first[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        value, at, n = np.unique(value[first], return_index=True, return_counts=True)
+        columns = [lang[owner[first][at]].astype(np.int32), value.astype(np.uint64).view(np.int64), n.astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["lang_no", "term", "n"])
+
+
+def _shards(rows: DataFrame) -> dict[int, int]:
+    """Vectorizers that each language needs, from the number of terms that it keeps, counted over all documents."""
+    found = rows.select("lang_no", "text").mapInArrow(_frequencies, "lang_no int, term long, n long")
+    held = found.groupBy("lang_no", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCUMENTS)
+    seen = held.groupBy("lang_no").agg(F.count("*").alias("n")).collect()
+    # hashes deal terms a little unevenly
+    return {r.lang_no: 1 + int(r.n * 1.1) // TERMS for r in seen}
+
+
 def _summed(known: np.ndarray, number: np.ndarray):
     """(group, term, n): the document vectors over the vocabulary, added up by group within each block of texts."""
 
@@ -220,7 +232,7 @@ def audit(docs: DataFrame, work: Work, top: int = TOP) -> DataFrame:
     rows = texts.join(numbered.select("lang", "source", "lang_no", "group"), ["lang", "source"])
     shards = _shards(rows)
     jobs = [(no, shard, n) for no, n in sorted(shards.items()) for shard in range(n)]
-    if not jobs:  # the sample met no term: one vectorizer for each language
+    if not jobs:  # no language keeps a term: one vectorizer for each language
         jobs = [(r.lang_no, 0, 1) for r in numbered.select("lang_no").distinct().orderBy("lang_no").collect()]
     vocabulary = _vocabularies(rows, jobs, work)
     sums = _sums(rows, vocabulary, jobs, work)

@@ -205,5 +205,15 @@ def test_audit_like_brute_force(spark, work, most, monkeypatch):
     assert sorted(map(tuple, found.collect())) == audited(rows, 9)
 
 
+def test_vectorizers_are_dealt_by_the_terms_of_all_documents(spark, monkeypatch):
+    """Copies of one text fall on the same side of any sample by hash; their terms count all the same."""
+    monkeypatch.setattr(source_divergence, "TERMS", 10)
+    kept = [" ".join(f"{w}{'abcdefghij'[i]}" for w in ("x", "yy", "zzz", "vvv") for i in range(10)) for _ in range(3)]
+    for own in range(12):
+        texts = [f"{t} {'q' * (own + 1)}" for t in kept] + ["rare one", "rare two"]
+        rows = spark.createDataFrame([(0, t) for t in texts] + [(1, "few few few"), (1, "few"), (1, "few Few")], "lang_no int, text string")
+        assert source_divergence._shards(rows) == {0: 1 + int(41 * 1.1) // 10, 1: 1}
+
+
 def test_audit_of_an_empty_table(spark, work):
     assert source_divergence.audit(spark.createDataFrame([], "text string, lang string, source string"), work).count() == 0
