@@ -9,6 +9,7 @@ from helpers import month, raises_in_job, series_rows
 
 from monthgrain.contracts import MODEL_NAIVE, MODEL_SMOOTHING, ContractError
 from monthgrain.operators import (
+    boosting,
     checks,
     comparison,
     features,
@@ -310,6 +311,41 @@ def test_stored_models_and_predictions_are_used_again(make_panel, spark, tmp_pat
     assert forward() == one and len(trained) == before
 
 
+def test_models_that_grow_together_are_those_that_grow_alone(spark):
+    """Many models take the passes of one, and the first split is the best of all of brute force."""
+    rng = np.random.default_rng(5)
+    rows = [(m, f"p{i % 4}", i * 977 + m, float(rng.integers(0, 9)), float(rng.integers(0, 30))) for m in (0, 1) for i in range(90)]
+    rows = [(m, p, k, (a > 4) * 20.0 + (p == "p2") * 5 + b / 10 + m * (b > 20) * 40, a, b) for m, p, k, a, b in rows]
+    frame = spark.createDataFrame(rows, "model int, location_key string, key long, value double, a double, b double")
+    places, learner = np.array(["p0", "p1", "p2", "p3"]), boosting.Learner(trees=4, depth=2, step=0.05, subsample=1.0, seed=42)
+    context = spark.sparkContext
+
+    def run(name, df, *models, **more):
+        context.setJobGroup(name, name)
+        found = boosting.fit(df, ["a", "b"], {m: places for m in models}, learner, **more)
+        return found, len(context.statusTracker().getJobIdsForGroup(name))
+
+    try:
+        both, jobs = run("both", frame.repartition(3), 0, 1, rows_per_task=20)
+        alone, jobs_alone = zip(*(run(f"only-{m}", frame.filter(f"model = {m}"), m, rows_per_task=1000) for m in (0, 1)))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= max(jobs_alone) + 2 < sum(jobs_alone)  # reading the rows may take a job more
+    for m in (0, 1):
+        for one, other in zip(both[m], alone[m][m], strict=True):
+            assert all((x == y).all() for x, y in ((one.feature, other.feature), (one.split, other.split), (one.value, other.value)))
+        own = [r for r in rows if r[0] == m]
+        left = lambda t: np.sum((np.array(t) - np.mean(t)) ** 2) if t else 0.0
+        tests = {(f, c): [r[4 + f] > c for r in own] for f in (0, 1) for c in {r[4 + f] for r in own}}
+        tests |= {(boosting.PLACE, i): [r[1] == f"p{i}" for r in own] for i in range(4)}
+        error = {k: left([r[3] for r, t in zip(own, v) if t]) + left([r[3] for r, t in zip(own, v) if not t]) for k, v in tests.items()}
+        first = both[m][0]
+        assert error[int(first.feature[0]), first.split[0]] <= min(error.values()) + 1e-6
+        features, place = np.array([[r[4] for r in own], [r[5] for r in own]]), np.searchsorted(places, [r[1] for r in own])
+        value, whole = np.array([r[3] for r in own]), boosting.predict(both[m], features, place)
+        assert np.mean((value - whole) ** 2) < np.mean((value - boosting.predict(both[m][:1], features, place)) ** 2) < np.var(value)
+
+
 def test_an_entry_without_its_mark_is_not_read(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     with pytest.raises(ValueError):
