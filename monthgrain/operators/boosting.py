@@ -2,7 +2,7 @@
 
 The rows of every model are cut into at most ``BINS`` bins per feature by quantiles of that model's own rows, and kept in
 partitions as blocks.  For each level every task adds up, by model, node, feature and bin, how many rows there are and what is left
-to explain; the sums of a model meet in one reducer, which returns only the best split of each node.  Locations are a
+to explain; the sums of a model meet in one reducer (where a task holds a model whole, there), which returns only the best split of each node.  Locations are a
 category: a split parts one location from the others, as a one-hot column would.
 
 The scheme is that of Spark's learner: the first tree fits the values, each later one twice the remaining error, shrunk by
@@ -168,9 +168,13 @@ def fit(rows: DataFrame, features: list[str], places: dict[int, np.ndarray], lea
     cuts = {r.model: [np.unique(np.array(r[c], float)) for c in features] for r in seen}
     unit = {r.model: (r.most or 1.0) / UNITS for r in seen}
     width = {m: len(p) for m, p in places.items()}
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    # models that fit into a task each are dealt to tasks whole: their sums need no shuffle
+    whole = max(r.n for r in seen) <= rows_per_task
     tasks = 1 + sum(r.n for r in seen) // rows_per_task
+    tasks = max(tasks, min(len(places), cores)) if whole else tasks
     plain = rows.select("model", "location_key", "key", F.col("value").cast("double"), *(F.col(c).cast("double") for c in features))
-    blocks = plain.repartition(tasks, "key").mapInArrow(_binned(cuts, places), "block binary")
+    blocks = plain.repartition(tasks, "model" if whole else "key").mapInArrow(_binned(cuts, places), "block binary")
     state = blocks.rdd.map(lambda r: bytes(r.block)).mapPartitions(_merged).persist(StorageLevel.MEMORY_AND_DISK)
     trees: dict[int, list[Tree]] = {m: [] for m in places}
     done: dict[int, list[Tree]] = {m: [] for m in places}
@@ -183,7 +187,8 @@ def fit(rows: DataFrame, features: list[str], places: dict[int, np.ndarray], lea
             sums = state.mapPartitions(_sums(level, number, learner, done, growing, unit, width))
             first = (1 << level) - 1
             split = 0
-            for m, nodes in sums.reduceByKey(both, reducers).mapValues(_best).collect():
+            added = sums if whole else sums.reduceByKey(both, reducers)
+            for m, nodes in added.mapValues(_best).collect():
                 tree = growing[m]
                 for node, feature, cut_at, mean, left, right in nodes:
                     i = first + node
