@@ -1,12 +1,13 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model over characters, trained on trusted text.
 
-Characters are mapped to 64 symbols (letters keep their identity, rarer ones share a class), so an n-gram of ``ORDER`` symbols
-is a number of 24 bits.  One pass counts, per task and then by shuffled sums, how often every n-gram of the corpus occurs in
+Characters are code points, all of them kept apart.  An n-gram is its last symbol and its context, the symbols before that one
+as a number of 21 bits each.  One pass counts, per task and then by shuffled sums, how often every n-gram of the corpus occurs in
 trusted text; those that never do are kept with count 0, as they need a probability too.
 
 The model is a chain of joins between tables sharded by context: counts of an order join the totals of their contexts, the
-three discounts of the order and the probabilities of the order below.  The finished table has at most 64**ORDER rows whatever the
-corpus holds, a proven bound (128 MB as an array); it is broadcast, and a document's perplexity is a look-up per character.
+three discounts of the order and the probabilities of the order below.  The lowest order is interpolated with equal shares of all
+characters of the corpus.  The finished table grows with the corpus and stays sharded: documents are dealt into blocks
+of ``BLOCK`` bytes, the distinct n-grams of each block are joined with the table, and the probabilities found return to their block.
 
 Texts fall into two folds by their hash.  Each fold has a model, and a document is measured by the model of the other fold, so
 no text is measured by a model that it trained.  A language's threshold is a quantile of the perplexities of its trusted
@@ -29,70 +30,111 @@ from monthgrain.llm import textkernel as tk
 from monthgrain.llm.work import Work
 
 ORDER = 4
-BITS = 6
+#: Of a code point, and of the pad before a text, which is no code point.
+BITS = 21
+PAD = 0x110000
 #: Share of trusted documents of a language that its threshold keeps; on the labels of sf0.1 the share of junk rejected plus
 #: the share of clean text kept is largest here (README).
 QUANTILE = 0.985
 FOLDS = 2
-#: Symbols: 0 pad, 1 space, 2 line feed, 3 digit, 4-29 a-z, 30-55 A-Z, then classes.
-_PAD, _SPACE, _FEED, _DIGIT = range(4)
-_CLASSES = {".": 56, ",": 57, "!?": 58, "'\"-:;()": 59, "#*$%&|<>": 60}
-_OTHER_ASCII, _LATIN, _OTHER = 61, 62, 63
-
-
-def _byte_symbols() -> np.ndarray:
-    """Symbol of each byte; bytes that continue a character have none (255)."""
-    table = np.full(256, _OTHER_ASCII, np.uint8)
-    table[ord("a") : ord("z") + 1] = np.arange(4, 30)
-    table[ord("A") : ord("Z") + 1] = np.arange(30, 56)
-    table[ord("0") : ord("9") + 1] = _DIGIT
-    table[[9, 11, 12, 13, 32]] = _SPACE
-    table[10] = _FEED
-    for characters, symbol in _CLASSES.items():
-        table[[ord(c) for c in characters]] = symbol
-    table[0x80:0xC0] = 255
-    table[0xC0:0xCA] = _LATIN
-    table[0xCA:] = _OTHER
-    return table
-
-
-_SYMBOL = _byte_symbols()
-
-
-def ngrams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code of the n-gram that ends at each character, and its text; a text starts after order - 1 pads."""
-    symbol = _SYMBOL[data]
-    at = np.flatnonzero(symbol != 255)
-    symbol = symbol[at].astype(np.int64)
+#: Bytes of text that share one look-up table, and those that are measured at a time.
+BLOCK, PIECE = 8 << 20, 2 << 20
+FOUND = "context long, symbol long"
+
+
+def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code point of every character and the place of its first byte."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    point = data[at].astype(np.int32)
+    long = np.flatnonzero(point >= 0xC0)
+    lead = point[long]
+    for size, first, last in ((2, 0xC0, 0xDF), (3, 0xE0, 0xEF), (4, 0xF0, 0xFF)):
+        some = long[(lead >= first) & (lead <= last)]
+        some = some[at[some] + size <= len(data)]
+        value = point[some] & (0x7F >> size)
+        for k in range(1, size):
+            value = value << 6 | (data[at[some] + k] & 0x3F)
+        point[some] = np.minimum(value, PAD - 1)
+    return point, at
+
+
+def ngrams(data: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Code of the n-gram that ends at each character, its text, and the characters that codes number; a text starts after order - 1 pads.
+
+    There is one piece, unless the texts hold so many characters that codes need more than 63 bits.
+    """
+    point, at = _code_points(data)
     begins = np.searchsorted(at, offsets)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(begins))
-    place = np.arange(len(symbol)) - begins[owner]
-    code = np.zeros(len(symbol), np.int64)
-    for back in range(order - 1, -1, -1):
-        previous = np.zeros(len(symbol), np.int64)
-        previous[back:] = symbol[: len(symbol) - back]
-        code = code << BITS | np.where(place >= back, previous, _PAD)
-    return code, owner
+    place = np.arange(len(point)) + (order - 1) * (owner + 1)
+    padded = np.full(len(point) + (order - 1) * (len(offsets) - 1), PAD, np.int32)
+    padded[place] = point
+    number = np.zeros(PAD + 1, np.int64)
+    most = 1 << 63 // order
+    step = len(point) if len(_alphabet(padded)) < most else most // order - 1
+    for first in range(0, len(point), step or 1):
+        end = place[first : first + step] - place[first]
+        known = padded[place[first] - order + 1 : place[first] + end[-1] + 1]
+        alphabet = _alphabet(known)
+        number[alphabet] = np.arange(len(alphabet))
+        local = number[known]
+        code = local[: len(local) - order + 1]
+        for k in range(1, order):
+            code = code * len(alphabet) + local[k : len(local) - order + 1 + k]
+        yield code[end], owner[first : first + step], alphabet
+
+
+def _alphabet(points: np.ndarray) -> np.ndarray:
+    seen = np.zeros(PAD + 1, bool)
+    seen[points] = True
+    return np.flatnonzero(seen)
+
+
+def parts(code: np.ndarray, alphabet: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Context and last symbol of n-grams, in code points."""
+    code, symbol = np.divmod(code, len(alphabet))
+    context = np.zeros(len(code), np.int64)
+    for k in range(order - 1):
+        code, one = np.divmod(code, len(alphabet))
+        context |= alphabet[one] << BITS * k
+    return context, alphabet[symbol]
 
 
 def _counts(order: int):
-    """(code, n0, n1) per task: counts in the trusted text of each fold; ``fold`` is null where a text is not trusted."""
+    """(context, symbol, n0, n1) per piece: counts in the trusted text of each fold; ``fold`` is null where a text is not trusted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((FOLDS, 1 << BITS * order), np.int32)
-        seen = np.zeros(1 << BITS * order, bool)
-        for block in tk.blocks(batches, "text"):
-            code, owner = ngrams(*tk.flat(block.column(0)), order)
-            seen[code] = True
-            fold = block.column(1).fill_null(-1).to_numpy(zero_copy_only=False)[owner]
-            for k in range(FOLDS):
-                value, count = np.unique(code[fold == k], return_counts=True)
-                total[k, value] += count.astype(np.int32)
-        codes = np.flatnonzero(seen)
-        for i in range(0, len(codes), 100_000):
-            part = codes[i : i + 100_000]
-            columns = [pa.array(total[k, part].astype(np.int64)) for k in range(FOLDS)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), *columns], ["code", *(f"n{k}" for k in range(FOLDS))])
+        for block in tk.blocks(batches, "text", PIECE):
+            trusted = block.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+            for code, owner, alphabet in ngrams(*tk.flat(block.column(0)), order):
+                seen, fold = np.unique(code), trusted[owner]
+                columns = [*parts(seen, alphabet, order)]
+                for k in range(FOLDS):
+                    value, count = np.unique(code[fold == k], return_counts=True)
+                    total = np.zeros(len(seen), np.int64)
+                    total[np.searchsorted(seen, value)] = count
+                    columns.append(total)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["context", "symbol", *(f"n{k}" for k in range(FOLDS))])
+
+    return run
+
+
+def _wanted(order: int):
+    """The distinct n-grams of a block of documents."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        pieces = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for block in tk.blocks(table.to_batches(), "text", PIECE):
+            texts = tk.flat(block.column(block.schema.get_field_index("text")))
+            pieces += [parts(np.unique(code), alphabet, order) for code, _, alphabet in ngrams(*texts, order)]
+        context, symbol = (np.concatenate(column) for column in zip(*pieces))
+        by = np.lexsort((symbol, context))
+        context, symbol = context[by], symbol[by]
+        new = np.ones(len(context), bool)
+        new[1:] = (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])
+        context, symbol = context[new], symbol[new]
+        block = np.full(len(context), key[0].as_py(), np.int64)
+        return pa.table({"block": block, "context": context, "symbol": symbol})
 
     return run
 
@@ -110,55 +152,86 @@ def _discounts(counts: DataFrame) -> Column:
     return F.when(n == 1, bounded[0]).when(n == 2, bounded[1]).when(n > 2, bounded[2]).otherwise(0.0)
 
 
-def train(counts: DataFrame, work: Work, order: int = ORDER, label: str = "") -> DataFrame:
-    """(code, logp): natural log probability of every n-gram in ``counts`` (code, n), given its first symbols.
+def chain(counts: DataFrame, work: Work, order: int, bits: int = BITS, symbols: int | None = None, label: str = "") -> DataFrame:
+    """(context, symbol, p): probability of every n-gram in ``counts`` (context, symbol, n), given its context.
 
-    The counts of a lower order are continuation counts: in how many different symbols its n-grams are preceded.
+    The counts of a lower order are continuation counts: in how many different symbols its n-grams are preceded.  ``symbols``:
+    how many there are; if not given, those of the table.
     """
+    shorter = lambda k: F.col("context").bitwiseAND(F.lit((1 << bits * (k - 1)) - 1))
     orders = {order: counts}
     for k in range(order - 1, 0, -1):
-        above = orders[k + 1]
-        shorter = F.col("code").bitwiseAND(F.lit((1 << BITS * k) - 1))
-        continued = above.groupBy(shorter.alias("code")).agg(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("n"))
+        continued = orders[k + 1].groupBy(shorter(k).alias("context"), "symbol").agg(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("n"))
         orders[k] = work.save(continued, f"{label}order-{k}")
-    uniform = 1.0 / (1 << BITS)
+    uniform = 1.0 / (symbols or max(1, orders[1].count()))
     below = None
     for k in range(1, order + 1):
-        table = orders[k].withColumn("context", F.shiftright("code", BITS)).withColumn("d", _discounts(orders[k]))
+        table = orders[k].withColumn("d", _discounts(orders[k]))
         context = table.groupBy("context").agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("mass"))
         joined = table.join(context, "context")
         if below is None:
             lower = joined.withColumn("lower", F.lit(uniform))
         else:
-            suffix = F.col("code").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))
-            lower = joined.withColumn("suffix", suffix).join(below.select(F.col("code").alias("suffix"), F.col("p").alias("lower")), "suffix")
+            under = below.select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("lower"))
+            lower = joined.withColumn("suffix", shorter(k - 1)).join(under, ["suffix", "symbol"])
         known = (F.col("n") - F.col("d") + F.col("mass") * F.col("lower")) / F.col("total")
         p = F.when(F.col("total") > 0, known).otherwise(F.col("lower"))
-        below = work.save(lower.select("code", p.alias("p")), f"{label}probability-{k}")
-    return below.select("code", F.log("p").cast("float").alias("logp"))
+        below = work.save(lower.select("context", "symbol", p.alias("p")), f"{label}probability-{k}")
+    return below
 
 
-def _scored(shared, order: int):
-    """Perplexity of each text under the model that its fold did not train."""
+def train(counts: DataFrame, work: Work, order: int = ORDER, label: str = "", bits: int = 6) -> DataFrame:
+    """(code, logp): natural log probability of every n-gram in ``counts`` (code, n), given its first symbols.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, logs = shared.value
-        table = np.zeros((FOLDS, 1 << BITS * order), np.float32)
-        for k in range(FOLDS):
-            table[k, codes] = logs[k]
-        for block in tk.blocks(batches, "text"):
-            code, owner = ngrams(*tk.flat(block.column(block.schema.get_field_index("text"))), order)
-            fold = block.column(block.schema.get_field_index("fold")).to_numpy(zero_copy_only=False)
-            n = np.bincount(owner, minlength=block.num_rows)
-            total = np.bincount(owner, weights=table[1 - fold[owner], code], minlength=block.num_rows)
-            none = n == 0
+    For alphabets of ``2**bits`` symbols whose n-grams fit into one number.
+    """
+    symbol = F.col("code").bitwiseAND(F.lit((1 << bits) - 1))
+    model = chain(counts.select(F.shiftright("code", bits).alias("context"), symbol.alias("symbol"), "n"), work, order, bits, 1 << bits, label)
+    return model.select((F.shiftleft("context", bits) + F.col("symbol")).alias("code"), F.log("p").cast("float").alias("logp"))
+
+
+def _scored(order: int):
+    """Perplexity of each text of a block under the model that its fold did not train."""
+
+    def run(texts: pa.Table, model: pa.Table) -> pa.Table:
+        contexts, row = np.unique(model["context"].to_numpy(), return_inverse=True)
+        keys = row << BITS | model["symbol"].to_numpy()
+        by = np.argsort(keys)
+        keys = keys[by]
+        logs = np.stack([model[f"logp{k}"].to_numpy()[by] for k in range(FOLDS)])
+        out = []
+        for block in tk.blocks(texts.to_batches(), "text", PIECE):
+            named = lambda c: block.column(block.schema.get_field_index(c))  # noqa: B023, E731
+            # a null text has no characters, so its fold plays no part
+            fold = named("fold").fill_null(0).to_numpy(zero_copy_only=False)
+            n, total = np.zeros(block.num_rows, np.int64), np.zeros(block.num_rows)
+            for code, owner, alphabet in ngrams(*tk.flat(named("text")), order):
+                distinct, which = np.unique(code, return_inverse=True)
+                context, symbol = parts(distinct, alphabet, order)
+                found = logs[:, np.searchsorted(keys, np.searchsorted(contexts, context) << BITS | symbol)]
+                n += np.bincount(owner, minlength=block.num_rows)
+                total += np.bincount(owner, weights=found[1 - fold[owner], which], minlength=block.num_rows)
             value = np.exp(-total / np.maximum(n, 1))
-            columns = [block.column(0), block.column(1), pa.array(n.astype(np.int64)), pa.array(value, mask=none)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "n_symbols", "perplexity"])
+            columns = [named("doc_id"), named("lang"), pa.array(n), pa.array(value, mask=n == 0)]
+            out.append(pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "n_symbols", "perplexity"]))
+        schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("perplexity", pa.float64())])
+        return pa.Table.from_batches(out).cast(schema) if out else schema.empty_table()
 
     return run
 
 
+def _perplexities(docs: DataFrame, fold: Column, model: DataFrame) -> DataFrame:
+    """doc_id, lang, n_symbols and perplexity; ``model`` has context, symbol and logp by fold."""
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, held // BLOCK)))
+    # both readers below share this one exchange of the texts
+    dealt = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "fold": fold, "block": block}).repartition("block")
+    wanted = dealt.groupBy("block").applyInArrow(_wanted(ORDER), f"block long, {FOUND}")
+    found = wanted.join(model, ["context", "symbol"]).select("block", *model.columns)
+    schema = "doc_id long, lang string, n_symbols long, perplexity double"
+    return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_scored(ORDER), schema)
+
+
 def score(
     docs: DataFrame, labels: DataFrame, work: Work, key: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = QUANTILE
 ) -> DataFrame:
@@ -169,20 +242,17 @@ def score(
     # a merge join at every size: the labels grow with the documents, and one plan makes the disk it needs foreseeable
     fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
     texts = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left").select("text", F.when(F.col("trusted"), fold).alias("fold"))
-    counted = texts.mapInArrow(_counts(ORDER), "code long, n0 long, n1 long").groupBy("code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = texts.mapInArrow(_counts(ORDER), f"{FOUND}, n0 long, n1 long")
+    counted = counted.groupBy("context", "symbol").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counted = work.save(counted, "counts")
     trained = [k for k in range(FOLDS) if not counted.filter(f"n{k} > 0").isEmpty()]
     if not trained:
         bare = docs.select("doc_id", "lang", F.lit(None).cast("long").alias("n_symbols"), F.lit(None).cast("double").alias("perplexity"))
         return bare.withColumns({"threshold": F.lit(None).cast("double"), "kept": F.lit(True)})
-    # at most 64**ORDER rows each
-    models = [train(counted.select("code", F.col(f"n{k}").alias("n")), work, label=f"fold-{k}-") for k in trained]
-    model = models[0].withColumnRenamed("logp", "logp0")
-    model = model.join(models[-1].withColumnRenamed("logp", "logp1"), "code").toPandas()
-    shared = docs.sparkSession.sparkContext.broadcast((model["code"].to_numpy(), (model["logp0"].to_numpy(), model["logp1"].to_numpy())))
-    schema = "doc_id long, lang string, n_symbols long, perplexity double"
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("fold", fold).mapInArrow(_scored(shared, ORDER), schema)
-    rows = work.save(rows, "scores")
+    models = [chain(counted.select("context", "symbol", F.col(f"n{k}").alias("n")), work, ORDER, label=f"fold-{k}-") for k in trained]
+    log = lambda k: models[k].select("context", "symbol", F.log("p").cast("float").alias(f"logp{abs(k)}"))
+    model = work.save(log(0).join(log(-1), ["context", "symbol"]), "model")
+    rows = work.save(_perplexities(docs, fold, model), "scores")
     trusted = rows.join(good, "doc_id", "left_semi").filter("perplexity is not null")
     # percentile_approx merges bounded sketches, however many documents a language has
     cut = lambda: F.percentile_approx("perplexity", quantile, 10_000)

@@ -336,6 +336,36 @@ def test_classifier_threshold_is_a_quantile_of_held_out_text(spark, work):
     assert sum(found[i].kept for i in range(60)) >= 55 and not any(found[100 + i].kept for i in range(20))
 
 
+def test_ngrams_keep_code_points_apart():
+    many = "".join(map(chr, range(0x100, 0xD000)))
+    texts = ["aé€😀b", "", "Привет\x00", "漢字かな", many + many[::-1], "xyz"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
+    found = []
+    for code, owner, alphabet in kneser_ney.ngrams(data, offsets, 4):
+        found += zip(*(x.tolist() for x in (*kneser_ney.parts(code, alphabet, 4), owner)))
+    expected = []
+    for i, t in enumerate(texts):
+        c = [kneser_ney.PAD] * 3 + [ord(x) for x in t]
+        expected += [(c[j] << 42 | c[j + 1] << 21 | c[j + 2], c[j + 3], i) for j in range(len(t))]
+    assert found == expected
+
+
+@pytest.mark.parametrize("first", [0x430, 0x4E00])
+def test_classifier_parts_prose_from_noise_in_other_scripts(spark, work, first):
+    """Noise of the same letters and word lengths; only which letter follows which tells them apart."""
+    rng = random.Random(12)
+    letters = [chr(first + i) for i in range(30)]
+    words = ["".join(rng.choices(letters, k=6)) for _ in range(25)]
+    good = lambda: " ".join(rng.choices(words, k=60))
+    bad = lambda: " ".join("".join(rng.choices(letters, k=6)) for _ in range(60))
+    rows = [(i, good(), "xx") for i in range(60)] + [(100 + i, bad(), "xx") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 60, 2)], "doc_id long, quality int")
+    found = {r.doc_id: r for r in kneser_ney.score(frame, labels, work, quantile=1.0).collect()}
+    assert sum(found[i].kept for i in range(60)) >= 55 and not any(found[100 + i].kept for i in range(20))
+
+
 def test_classifier_without_trusted_text(docs, spark, work):
     frame, labels = docs(["a b c", None]), spark.createDataFrame([], "doc_id long, quality int")
     assert [r.kept for r in kneser_ney.score(frame, labels, work).collect()] == [True, True]
