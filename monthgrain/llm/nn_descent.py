@@ -8,7 +8,8 @@ vectors, and what beats a node's current neighbours enters the next round's top
 
 A query starts at its own node, keeps the ``beam`` nearest nodes seen, expands those not yet expanded along links in both
 directions, and stops when all are; all queries walk together, one join per step.  A node that has left the ``beam`` cannot come
-back, so every node is expanded at most once and each walk ends by itself.  Distances there are Euclidean in double
+back, so every node is expanded at most once and each walk ends by itself.  Such nodes stay in the walk's table without their
+score, so that no node is measured twice for a query.  Distances there are Euclidean in double
 precision on the original vectors, and members of equal vectors are added at the end, smallest ids first.
 
 The beam is wide, since vectors without clusters have many nodes nearly as near as the true ones: a narrow one ends in a local
@@ -206,14 +207,16 @@ def walk(starts: DataFrame, nodes: DataFrame, graph: DataFrame, work: Work, sett
     queries = starts.join(nodes, starts.q == nodes.node).select("q", F.col("vec").alias("q_vec"))
     state = queries.select("q", F.col("q").alias("node"), F.lit(0.0).alias("score"), F.lit(False).alias("done"))
     state = work.save(state, "walk-0")
-    order = W.partitionBy("q").orderBy("score", "node")
+    order = W.partitionBy("q").orderBy(F.asc_nulls_last("score"), "node")
+    inside = F.col("r") <= settings.beam
     for i in count(1):
         front = state.filter(~F.col("done")).select("q", "node")
         met = front.join(links, front.node == links.u).select("q", F.col("v").alias("node")).distinct()
         fresh = met.join(state.select("q", "node"), ["q", "node"], "left_anti")
         scored = fresh.join(nodes, "node").join(queries, "q").select("q", "node", _distance("q_vec", "vec").alias("score"))
         seen = state.withColumn("done", F.lit(True)).unionByName(scored.withColumn("done", F.lit(False)))
-        ranked = seen.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= settings.beam).drop("r")
+        ranked = seen.withColumn("r", F.row_number().over(order))
+        ranked = ranked.select("q", "node", F.when(inside, F.col("score")).alias("score"), (F.col("done") | ~inside).alias("done"))
         state = work.save(ranked, f"walk-{i}")
         work.drop(f"walk-{i - 1}")
         if state.filter(~F.col("done")).isEmpty():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -295,6 +296,23 @@ def test_components_of_a_long_chain(spark, work):
     assert {r.node: r.label for r in found.collect()} == {i: 0 for i in range(1, 41)} | {101: 100}
 
 
+def test_walk_measures_no_node_twice(spark, work, monkeypatch):
+    """What a walk has met stays in its table, also beyond the beam, so that it is not met anew."""
+    n, line = 12, [(i, [float(i + 1), 1.0]) for i in range(12)]
+    nodes = spark.createDataFrame(line, "node long, vec array<double>")
+    graph = spark.createDataFrame([(i, j, float(abs(i - j))) for i in range(n) for j in range(n) if 0 < abs(i - j) < 4], "u long, v long, d double")
+    monkeypatch.setattr(work, "drop", lambda *names: None)
+    starts = spark.createDataFrame([(5,)], "q long")
+    found = nn_descent.walk(starts, nodes, graph, work, nn_descent.Settings(k=6, beam=3), 3).collect()
+    assert {(r.node, r.score) for r in found} == {(5, 0.0), (4, 1.0), (6, 1.0)}
+    met, step = set(), 0
+    while os.path.isdir(work.path(f"walk-{step}").removeprefix("file:")):
+        rows = [r.node for r in spark.read.parquet(work.path(f"walk-{step}")).collect()]
+        assert met <= set(rows) and len(rows) == len(set(rows))
+        met, step = set(rows), step + 1
+    assert step > 2 and len(met) > 3
+
+
 # -- language model ---------------------------------------------------------------------------------------------------
 
 
