@@ -1,12 +1,13 @@
 """Source divergence audit: how far the term distribution of each source is from the other sources of its language.
 
-1. Per language a ``CountVectorizer`` with ``minDF`` 3 and the largest integer as ``vocabSize`` keeps every term that at least
-   three documents hold.  Its vocabulary lives on the driver, so it must be bounded: where a language may have more than
-   ``TERMS`` kept terms, they are dealt into shards by hash and each shard has a vectorizer of its own.  Shards share no term,
-   so sums over shards are exact.
-2. Documents become exact sparse count vectors over the vocabularies, all languages in one pass (or few, bounded in terms).
-3. Vectors are summed by group (language, source) and term, sparsely and inside the task first; a dense summary would hold a
-   full vocabulary per group and task.
+1. One pass over the texts counts, per task and then by shuffled sums, how often each term occurs in each group (language, source) and
+   in how many of its documents: the sparse document vectors, summed by group.  A document is in one group, so a language's document
+   counts are the sums over its groups.
+2. Per language a ``CountVectorizer`` with ``minDF`` 3 and the largest integer as ``vocabSize`` keeps every term that at least
+   three documents hold.  It is given the counted terms, each in as many documents as hold it, three at most, rather than the texts
+   again.  Its vocabulary lives on the driver, so it must be bounded: where a language has more than ``TERMS`` kept terms,
+   they are dealt into shards by hash and each shard has a vectorizer of its own.  Shards share no term, so sums over shards are exact.
+3. The counts are joined with the vocabularies, which leaves those of the kept terms.
 4. Shares are whole numbers: p = 1 + floor(10^9 * (count + 1) / (N + V)).
 5. Pairs of sources are evaluated sparsely.  With p0 the share of a term that a source lacks, the sum over all V terms of
    f(p, q) = floor((p - q)^2 / q) is V * f(p0, q0), plus corrections for terms that one side holds (these depend on the count
@@ -34,9 +35,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from monthgrain.llm import textkernel as tk
 from monthgrain.llm.work import Work
 
-#: What parts terms: ASCII other than letters.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_TERM = "0"
 MIN_DOCUMENTS = 3
 MAX_INTEGER = (1 << 31) - 1
@@ -44,120 +42,97 @@ SCALE = 1_000_000_000
 TOP = 200
 #: Kept terms that one vocabulary may hold.
 TERMS = 1 << 20
+#: Terms that one document of a vectorizer holds, about.
+LISTED = 1 << 10
 _OUTSIDE = np.ones(256, bool)
 _OUTSIDE[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 #: Vectorizers that are fitted at a time.
 TOGETHER = 4
 
 
-def _cut(text: str) -> Column:
-    """Terms of a text; cutting at what is no letter is several times cheaper than extracting the letters."""
-    return F.array_remove(F.split(F.translate(text, UPPER, LOWER), BETWEEN), "")
-
-
-def _fitted(rows: DataFrame, no: int, shard: int, shards: int, work: Work) -> str:
-    """Folder of the vectorizer of one language and shard."""
-    terms = _cut("text")
+def _fitted(held: DataFrame, no: int, shard: int, shards: int, work: Work) -> str:
+    """Folder of the vectorizer of one language and shard; ``held`` (lang_no, item, df) has the terms and how many documents hold them."""
+    own = held.filter(F.col("lang_no") == no)
     if shards > 1:
-        terms = F.filter(terms, lambda t: F.pmod(F.xxhash64(t), F.lit(shards)) == shard)
+        own = own.filter(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard)
+    # the vectorizer only asks whether a term is in MIN_DOCUMENTS documents, so each term is in as many as it has, that number at most
+    copy = F.explode(F.sequence(F.lit(1), F.least("df", F.lit(MIN_DOCUMENTS)).cast("int"))).alias("copy")
+    some = own.select("item", F.pmod(F.xxhash64("item", F.lit(no)), F.lit(TERMS // LISTED + 1)).alias("part"), copy)
+    listed = some.groupBy("part", "copy").agg(F.collect_list("item").alias("terms")).select("terms")
     # a vectorizer refuses an empty vocabulary: documents of a word that no text can hold keep one entry in it
-    padding = rows.sparkSession.createDataFrame([([NO_TERM],)] * MIN_DOCUMENTS, "terms array<string>")
-    own = rows.filter(F.col("lang_no") == no).select(terms.alias("terms")).unionByName(padding)
+    padding = held.sparkSession.createDataFrame([([NO_TERM],)] * MIN_DOCUMENTS, "terms array<string>")
     vectorizer = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(MIN_DOCUMENTS), vocabSize=MAX_INTEGER)
     path = work.path(f"vectorizer-{no}-{shard}")
-    vectorizer.fit(own).save(path)
+    vectorizer.fit(listed.unionByName(padding)).save(path)
     return path
 
 
-def _term_hash(data: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every term together with its language, and its text number."""
-    start, end, owner = tk.words(np.where(_OUTSIDE[data], 0x20, 0x61).astype(np.uint8), offsets)
-    plain = tk.range_hash(tk.prefix(tk.lowered(data)), start, end)
-    return tk.mix(plain + tk.mix(lang.astype(np.uint64))[owner]), owner
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang_no, term, n): in how many texts of a block each term of a language is."""
+def _block_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang_no, group, item, n, df): how often each term is in a block's texts of a group, and in how many of them."""
     for block in tk.blocks(batches, "text", 1 << 21):
-        lang = block.column(0).to_numpy(zero_copy_only=False)
-        value, owner = _term_hash(*tk.flat(block.column(1)), lang)
-        order = np.lexsort((owner, value))
-        value, owner = value[order], owner[order]
-        first = np.ones(len(value), bool)
-        first[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-        value, at, n = np.unique(value[first], return_index=True, return_counts=True)
-        columns = [lang[owner[first][at]].astype(np.int32), value.astype(np.uint64).view(np.int64), n.astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["lang_no", "term", "n"])
+        lang, group = (block.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+        data, offsets = tk.flat(block.column(2))
+        start, end, owner = tk.words(np.where(_OUTSIDE[data], 0x20, 0x61).astype(np.uint8), offsets)
+        data = tk.lowered(data)
+        value = tk.range_hash(tk.prefix(data), start, end)
+        value = tk.mix(value + tk.mix(group.astype(np.uint64))[owner])
+        order = np.argsort(value, kind="stable")  # texts of a term stay in order
+        value, text = value[order], owner[order]
+        head = np.ones(len(value), bool)
+        head[1:] = value[1:] != value[:-1]
+        fresh = head.copy()
+        fresh[1:] |= text[1:] != text[:-1]
+        at = np.flatnonzero(head)
+        n = np.diff(np.append(at, len(value)))
+        df = np.add.reduceat(fresh, at, dtype=np.int64) if len(at) else n
+        first, of = order[at], text[at]
+        columns = [pa.array(lang[of].astype(np.int32)), pa.array(group[of]), _strings(data, start[first], end[first]), pa.array(n), pa.array(df)]
+        yield pa.RecordBatch.from_arrays(columns, ["lang_no", "group", "item", "n", "df"])
+
+
+def _strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(end - start)])
+    at = np.arange(ends[-1]) + np.repeat(start - ends[:-1], end - start)
+    buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data[at])]
+    return pa.Array.from_buffers(pa.string(), len(start), buffers)
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """(lang_no, group, item, n, df): occurrences of every term in a group, and how many of its documents hold it, in one pass over the texts."""
+    found = rows.select("lang_no", "group", "text").mapInArrow(_block_counts, "lang_no int, group long, item string, n long, df long")
+    return found.groupBy("lang_no", "group", "item").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+
+
+def _held(counts: DataFrame) -> DataFrame:
+    """(lang_no, item, df): the terms that enough documents of a language hold."""
+    return counts.groupBy("lang_no", "item").agg(F.sum("df").alias("df")).filter(F.col("df") >= MIN_DOCUMENTS)
 
 
 def _shards(rows: DataFrame) -> dict[int, int]:
-    """Vectorizers that each language needs, from the number of terms that it keeps, counted over all documents."""
-    found = rows.select("lang_no", "text").mapInArrow(_frequencies, "lang_no int, term long, n long")
-    held = found.groupBy("lang_no", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCUMENTS)
+    """Vectorizers that each language needs, from the number of terms that it keeps, counted over all documents.
+
+    ``rows``: lang_no and text, or the terms as ``_held`` gives them.
+    """
+    held = rows if "df" in rows.columns else _held(_counts(rows.withColumn("group", F.col("lang_no").cast("long"))))
     seen = held.groupBy("lang_no").agg(F.count("*").alias("n")).collect()
     # hashes deal terms a little unevenly
     return {r.lang_no: 1 + int(r.n * 1.1) // TERMS for r in seen}
 
 
-def _summed(known: np.ndarray, number: np.ndarray):
-    """(group, term, n): the document vectors over the vocabulary, added up by group within each block of texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in tk.blocks(batches, "text", 1 << 21):
-            lang, group = (block.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            value, owner = _term_hash(*tk.flat(block.column(2)), lang)
-            place = np.minimum(np.searchsorted(known, value), len(known) - 1)
-            hit = known[place] == value
-            # sparse vector of every document, then the sum of the vectors of every group
-            cell, n = np.unique(owner[hit] * len(known) + place[hit], return_counts=True)
-            groups, which = np.unique(group[cell // len(known)], return_inverse=True)
-            total, back = np.unique(which * len(known) + cell % len(known), return_inverse=True)
-            n = np.bincount(back, weights=n, minlength=len(total)).astype(np.int64)
-            columns = [groups[total // len(known)], number[total % len(known)], n]
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["group", "term", "n"])
-
-    return run
-
-
-def _vocabularies(rows: DataFrame, jobs: list, work: Work) -> DataFrame:
+def _vocabularies(held: DataFrame, jobs: list, work: Work) -> DataFrame:
     """(lang_no, term, item): the numbered terms of all vectorizers, written once."""
-    spark = rows.sparkSession
+    spark = held.sparkSession
     with ThreadPoolExecutor(TOGETHER) as pool:
-        run = inheritable_thread_target(spark)(lambda job: _fitted(rows, *job, work))
+        run = inheritable_thread_target(spark)(lambda job: _fitted(held, *job, work))
         paths = list(pool.map(run, jobs))
     words = spark.createDataFrame([], "lang_no int, term long, item string")
     for k, ((no, _, _), path) in enumerate(zip(jobs, paths)):
-        held = spark.read.schema("vocabulary array<string>").parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "item"))
-        held = held.select(F.lit(no).alias("lang_no"), (F.lit(k * (1 << 32)) + F.col("i")).alias("term"), "item")
-        words = words.unionByName(held.filter(F.col("item") != NO_TERM))
+        named = spark.read.schema("vocabulary array<string>").parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("i", "item"))
+        named = named.select(F.lit(no).alias("lang_no"), (F.lit(k * (1 << 32)) + F.col("i")).alias("term"), "item")
+        words = words.unionByName(named.filter(F.col("item") != NO_TERM))
     return work.save(words, "vocabulary")
 
 
-def _sums(rows: DataFrame, vocabulary: DataFrame, jobs: list, work: Work) -> DataFrame:
-    """(group, term, n) of all groups; what one pass sends to its tasks holds at most ``TERMS`` * 4 terms."""
-    schema = "group long, term long, n long"
-    sizes = {r.k: r.n for r in vocabulary.groupBy(F.shiftright("term", 32).alias("k")).agg(F.count("*").alias("n")).collect()}
-    passes, held = [[]], 0
-    for k in sorted(sizes):
-        if held and held + sizes[k] > 4 * TERMS:
-            passes.append([])
-            held = 0
-        passes[-1].append(k)
-        held += sizes[k]
-    found = rows.sparkSession.createDataFrame([], schema)
-    for ks in passes:
-        if not ks:
-            continue
-        own = vocabulary.filter(F.shiftright("term", 32).isin(ks)).toArrow()
-        data, offsets = tk.flat(own["item"])
-        known, owner = _term_hash(data, offsets, own["lang_no"].to_numpy())
-        order = np.argsort(known)
-        texts = rows.filter(F.col("lang_no").isin(sorted({jobs[k][0] for k in ks}))).select("lang_no", "group", "text")
-        part = texts.mapInArrow(_summed(known[order], own["term"].to_numpy()[owner[order]]), schema)
-        found = found.unionByName(part)
-    return work.save(found.groupBy("group", "term").agg(F.sum("n").alias("n")), "sums")
-
-
 def share(count: Column, total: Column, terms: Column) -> Column:
     """1 + floor(SCALE * (count + 1) / (total + terms)); counts whose product leaves 64 bits go through decimals."""
     top, bottom = count + 1, total + terms
@@ -230,12 +205,15 @@ def audit(docs: DataFrame, work: Work, top: int = TOP) -> DataFrame:
     numbered = groups.withColumns({"lang_no": F.dense_rank().over(W.orderBy("lang")) - 1, "s": F.row_number().over(one) - 1})
     numbered = work.save(numbered.withColumn("group", F.col("lang_no").cast("long") * (1 << 32) + F.col("s")), "numbered")
     rows = texts.join(numbered.select("lang", "source", "lang_no", "group"), ["lang", "source"])
-    shards = _shards(rows)
+    counts = work.save(_counts(rows), "counts")
+    held = work.save(_held(counts), "held")
+    shards = _shards(held)
     jobs = [(no, shard, n) for no, n in sorted(shards.items()) for shard in range(n)]
     if not jobs:  # no language keeps a term: one vectorizer for each language
         jobs = [(r.lang_no, 0, 1) for r in numbered.select("lang_no").distinct().orderBy("lang_no").collect()]
-    vocabulary = _vocabularies(rows, jobs, work)
-    sums = _sums(rows, vocabulary, jobs, work)
+    vocabulary = _vocabularies(held, jobs, work)
+    sums = work.save(counts.join(vocabulary, ["lang_no", "item"]).select("group", "term", "n"), "sums")
+    work.drop("counts", "held")
     kept = vocabulary.groupBy("lang_no").agg(F.count("*").alias("terms"))
     totals = sums.groupBy("group").agg(F.sum("n").alias("total"))
     groups = numbered.join(totals, "group", "left").join(kept, "lang_no", "left").fillna(0, ["total", "terms"])

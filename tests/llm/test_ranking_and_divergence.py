@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from monthgrain.llm import ball_tree, simhash_pigeonring as sp, source_divergence
 from monthgrain.llm.work import Work
@@ -215,5 +216,31 @@ def test_vectorizers_are_dealt_by_the_terms_of_all_documents(spark, monkeypatch)
         assert source_divergence._shards(rows) == {0: 1 + int(41 * 1.1) // 10, 1: 1}
 
 
+def test_block_counts_like_brute_force(spark):
+    """One pass counts the occurrences of a term in a group and the documents that hold it."""
+    rng = random.Random(10)
+    rows = [(i % 2, i % 4, prose(rng, rng.choice([0, 2, 40]), "abcÉ")) for i in range(60)] + [(0, 2, t) for t in ODD]
+    n, df = Counter(), Counter()
+    for lang, group, text in rows:
+        terms = Counter(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", low(text)))
+        n.update({(lang, group, t): k for t, k in terms.items()})
+        df.update((lang, group, t) for t in terms)
+    frame = spark.createDataFrame(rows, "lang_no int, group long, text string").repartition(3)
+    found = source_divergence._counts(frame).collect()
+    assert {(r.lang_no, r.group, r.item): (r.n, r.df) for r in found} == {k: (n[k], df[k]) for k in n} and len(found) == len(n)
+
+
+def test_audit_scans_the_texts_once(spark, work, monkeypatch):
+    """The vectorizers are fitted on the counted terms, however many there are."""
+    monkeypatch.setattr(source_divergence, "TERMS", 3)
+    read = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda t: read.add(1) or t, "string").asNondeterministic()
+    rows = [(" ".join(f"{w}{'abcdefghij'[i]}" for i in range(10)), lang, s) for w, lang in (("x", "en"), ("y", "de")) for s in "abc"]
+    frame = spark.createDataFrame(rows, "text string, lang string, source string").withColumn("text", seen("text"))
+    found = source_divergence.audit(frame, work).collect()
+    assert sorted(map(tuple, found)) == audited(rows, 200)
+    assert read.value == len(rows)
+
+
 def test_audit_of_an_empty_table(spark, work):
     assert source_divergence.audit(spark.createDataFrame([], "text string, lang string, source string"), work).count() == 0
