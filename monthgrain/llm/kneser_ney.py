@@ -6,7 +6,7 @@ trusted text; those that never do are kept with count 0, as they need a probabil
 
 The model is a chain of joins between tables sharded by context: counts of an order join the totals of their contexts, the
 three discounts of the order and the probabilities of the order below.  The lowest order is interpolated with equal shares of all
-characters of the corpus.  The finished table grows with the corpus and stays sharded: documents are dealt into blocks
+characters of the corpus.  The finished table grows with the corpus and stays sharded: documents are packed in runs and dealt into blocks
 of ``BLOCK`` bytes, the distinct n-grams of each block are joined with the table, and the probabilities found return to their block.
 
 Texts fall into two folds by their hash.  Each fold has a model, and a document is measured by the model of the other fold, so
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from monthgrain.llm import textkernel as tk
@@ -39,6 +40,8 @@ QUANTILE = 0.985
 FOLDS = 2
 #: Bytes of text that share one look-up table, and those that are measured at a time.
 BLOCK, PIECE = 8 << 20, 2 << 20
+#: Bytes of text that are packed, and so dealt, together.
+PACK = 1 << 18
 FOUND = "context long, symbol long"
 
 
@@ -119,12 +122,29 @@ def _counts(order: int):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(task, no, texts): runs of rows with about ``PACK`` bytes of text, compressed together; ``no`` counts those of a task."""
+    task, no = TaskContext.get().partitionId(), 0
+    for piece in tk.blocks(batches, "text", PACK):
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_batch(piece)
+        yield pa.RecordBatch.from_arrays([pa.array([task]), pa.array([no]), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["task", "no", "texts"])
+        no += 1
+
+
+def _unpacked(packs: pa.Table) -> list[pa.RecordBatch]:
+    """The rows of a block, in pieces as large as they may be."""
+    batches = [batch for pack in packs["texts"] for batch in pa.ipc.open_stream(pack.as_buffer())]
+    return pa.Table.from_batches(batches).combine_chunks().to_batches() if batches else []
+
+
 def _wanted(order: int):
     """The distinct n-grams of a block of documents."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         pieces = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for block in tk.blocks(table.to_batches(), "text", PIECE):
+        for block in tk.blocks(_unpacked(table), "text", PIECE):
             texts = tk.flat(block.column(block.schema.get_field_index("text")))
             pieces += [parts(np.unique(code), alphabet, order) for code, _, alphabet in ngrams(*texts, order)]
         context, symbol = (np.concatenate(column) for column in zip(*pieces))
@@ -193,14 +213,14 @@ def train(counts: DataFrame, work: Work, order: int = ORDER, label: str = "", bi
 def _scored(order: int):
     """Perplexity of each text of a block under the model that its fold did not train."""
 
-    def run(texts: pa.Table, model: pa.Table) -> pa.Table:
+    def run(packs: pa.Table, model: pa.Table) -> pa.Table:
         contexts, row = np.unique(model["context"].to_numpy(), return_inverse=True)
         keys = row << BITS | model["symbol"].to_numpy()
         by = np.argsort(keys)
         keys = keys[by]
         logs = np.stack([model[f"logp{k}"].to_numpy()[by] for k in range(FOLDS)])
         out = []
-        for block in tk.blocks(texts.to_batches(), "text", PIECE):
+        for block in tk.blocks(_unpacked(packs), "text", PIECE):
             named = lambda c: block.column(block.schema.get_field_index(c))  # noqa: B023, E731
             # a null text has no characters, so its fold plays no part
             fold = named("fold").fill_null(0).to_numpy(zero_copy_only=False)
@@ -223,9 +243,11 @@ def _scored(order: int):
 def _perplexities(docs: DataFrame, fold: Column, model: DataFrame) -> DataFrame:
     """doc_id, lang, n_symbols and perplexity; ``model`` has context, symbol and logp by fold."""
     held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, held // BLOCK)))
+    # texts travel packed, or their exchange alone would fill most of the disk that the query may take
+    packs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "fold": fold}).mapInArrow(_packed, "task long, no long, texts binary")
+    block = F.pmod(F.xxhash64("task", "no"), F.lit(max(1, held // BLOCK)))
     # both readers below share this one exchange of the texts
-    dealt = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "fold": fold, "block": block}).repartition("block")
+    dealt = packs.select(block.alias("block"), "texts").repartition("block")
     wanted = dealt.groupBy("block").applyInArrow(_wanted(ORDER), f"block long, {FOUND}")
     found = wanted.join(model, ["context", "symbol"]).select("block", *model.columns)
     schema = "doc_id long, lang string, n_symbols long, perplexity double"
