@@ -7,13 +7,13 @@ meet; pairs with a link that is new since the last round are measured in double
 vectors, and what beats a node's current neighbours enters the next round's top ``k``.  Rounds stop when few links change.
 
 A query starts at its own node, keeps the ``beam`` nearest nodes seen, expands those not yet expanded along links in both
-directions, and stops when all are; all queries walk together, one join per step.  A node that has left the ``beam`` cannot come
-back, so every node is expanded at most once and each walk ends by itself.  Such nodes stay in the walk's table without their
-score, so that no node is measured twice for a query.  Distances there are Euclidean in double
-precision on the original vectors, and members of equal vectors are added at the end, smallest ids first.
+directions, until all are; all queries walk together, one join per step.  Then the beam doubles and the walk goes on from where it
+was.  A query has its result when a wider beam has not changed it, or when the beam holds all that it has met; the beam has no upper limit.
+Every node met stays in the walk's table with its score, so that no node is measured or expanded twice for a query.  Distances
+there are Euclidean in double precision on the original vectors, and members of equal vectors are added at the end, smallest ids first.
 
-The beam is wide, since vectors without clusters have many nodes nearly as near as the true ones: a narrow one ends in a local
-minimum.  It costs one walk per query, which is small next to building the graph.
+Vectors without clusters have many nodes nearly as near as the true ones, and a narrow beam ends in a local minimum; others need no
+wide one.  So each query takes the width it needs, and what it meets does not grow with the table where the graph is good.
 
 Sampling of reverse neighbours (``reverse``) is part of the method; recall is measured in the tests against brute force.
 
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -47,7 +48,7 @@ class Settings:
     group: int = 64
     rounds: int = 8
     settled: float = 0.004
-    beam: int = 1000
+    beam: int = 256
     seed: int = 20
 
 
@@ -205,24 +206,33 @@ def walk(starts: DataFrame, nodes: DataFrame, graph: DataFrame, work: Work, sett
     back = back.withColumn("r", F.row_number().over(nearest)).filter(F.col("r") <= settings.k)
     links = work.save(graph.select("u", "v").unionByName(back.select("u", "v")).distinct(), "links")
     queries = starts.join(nodes, starts.q == nodes.node).select("q", F.col("vec").alias("q_vec"))
-    state = queries.select("q", F.col("q").alias("node"), F.lit(0.0).alias("score"), F.lit(False).alias("done"))
+    state = queries.select("q", F.col("q").alias("node"), F.lit(0.0).alias("score"), F.lit(False).alias("done"), F.lit(1).alias("r"))
     state = work.save(state, "walk-0")
-    order = W.partitionBy("q").orderBy(F.asc_nulls_last("score"), "node")
-    inside = F.col("r") <= settings.beam
-    for i in count(1):
-        front = state.filter(~F.col("done")).select("q", "node")
-        met = front.join(links, front.node == links.u).select("q", F.col("v").alias("node")).distinct()
-        fresh = met.join(state.select("q", "node"), ["q", "node"], "left_anti")
-        scored = fresh.join(nodes, "node").join(queries, "q").select("q", "node", _distance("q_vec", "vec").alias("score"))
-        seen = state.withColumn("done", F.lit(True)).unionByName(scored.withColumn("done", F.lit(False)))
-        ranked = seen.withColumn("r", F.row_number().over(order))
-        ranked = ranked.select("q", "node", F.when(inside, F.col("score")).alias("score"), (F.col("done") | ~inside).alias("done"))
-        state = work.save(ranked, f"walk-{i}")
-        work.drop(f"walk-{i - 1}")
-        if state.filter(~F.col("done")).isEmpty():
-            break
-    ranked = state.withColumn("r", F.row_number().over(order))
-    return ranked.filter(F.col("r") <= top).select("q", "node", "score")
+    order = W.partitionBy("q").orderBy("score", "node")
+    before = queries.select("q", F.lit(None).cast("array<long>").alias("was"))
+    steps, found = count(1), []
+    for turn in count():
+        inside = F.col("r") <= settings.beam << turn
+        while not (front := state.filter(inside & ~F.col("done"))).isEmpty():
+            met = front.join(links, front.node == links.u).select("q", F.col("v").alias("node"))
+            met = met.withColumns({"score": F.lit(None).cast("double"), "done": F.lit(False)})
+            old = state.select("q", "node", "score", (F.col("done") | inside).alias("done"))
+            seen = old.unionByName(met).groupBy("q", "node").agg(F.max("score").alias("score"), F.max("done").alias("done"))
+            fresh = seen.filter("score is null").select("q", "node", "done").join(nodes, "node").join(queries, "q")
+            scored = fresh.select("q", "node", _distance("q_vec", "vec").alias("score"), "done")
+            ranked = seen.filter("score is not null").unionByName(scored).withColumn("r", F.row_number().over(order))
+            step = next(steps)
+            state = work.save(ranked, f"walk-{step}")
+            work.drop(f"walk-{step - 1}")
+        held = state.groupBy("q").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("r") <= top, F.col("node")))).alias("held"))
+        settled = (F.col("n") <= settings.beam << turn) | F.coalesce(F.col("held") == F.col("was"), F.lit(False))
+        held = work.save(held.join(before, "q").select("q", F.col("held").alias("was"), settled.alias("settled")), f"held-{turn}")
+        nearest = state.filter(F.col("r") <= top).join(held.filter("settled"), "q", "left_semi")
+        found.append(work.save(nearest.select("q", "node", "score"), f"found-{turn}"))
+        before = held.filter("not settled").select("q", "was")
+        if before.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        state = state.join(before, "q", "left_semi")
 
 
 def search(
