@@ -13,7 +13,7 @@ Every node met stays in the walk's table with its score, so that no node is meas
 there are Euclidean in double precision on the original vectors, and members of equal vectors are added at the end, smallest ids first.
 
 Vectors without clusters have many nodes nearly as near as the true ones, and a narrow beam ends in a local minimum; others need no
-wide one.  So each query takes the width it needs, and what it meets does not grow with the table where the graph is good.
+wide one.  So each query takes the width it needs.
 
 Sampling of reverse neighbours (``reverse``) is part of the method; recall is measured in the tests against brute force.
 
