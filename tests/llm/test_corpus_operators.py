@@ -133,6 +133,27 @@ def test_neighbours_of_vectors_without_clusters(spark, work):
     assert np.mean(hits) >= 9.5, hits
 
 
+def test_walk_measures_a_part_of_the_nodes(spark, work, monkeypatch):
+    """Where near vectors are linked, a query finds its neighbours without measuring a third of the table."""
+    n = 4000
+    matrix = np.random.default_rng(4).standard_normal((n, 4))
+    nodes = work.save(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "node long, vec array<double>"), "nodes")
+    graph = nn_descent.build(nodes, work, nn_descent.Settings())
+    monkeypatch.setattr(work, "drop", lambda *names: None)
+    starts = spark.createDataFrame([(q,) for q in range(0, n, 200)], "q long")
+    found = nn_descent.walk(starts, nodes, graph, work, nn_descent.Settings(), 11).collect()
+    hits = []
+    for q in range(0, n, 200):
+        far = ((matrix - matrix[q]) ** 2).sum(1)
+        hits.append(len({r.node for r in found if r.q == q} & set(np.argsort(far)[:11].tolist())))
+    assert np.mean(hits) >= 10.9, hits
+    step = 0
+    while os.path.isdir(work.path(f"walk-{step + 1}").removeprefix("file:")):
+        step += 1
+    measured = spark.read.parquet(work.path(f"walk-{step}")).count()
+    assert measured / 20 <= n / 3
+
+
 @pytest.mark.parametrize("n", [0, 1, 3])
 def test_few_vectors(spark, work, n):
     frame = spark.createDataFrame([(100 * i, [float(i), 1.0]) for i in range(n)], "vec_id long, embedding array<float>")
