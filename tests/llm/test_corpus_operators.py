@@ -154,6 +154,47 @@ def test_walk_measures_a_part_of_the_nodes(spark, work, monkeypatch):
     assert measured / 20 <= n / 3
 
 
+def test_walk_measures_a_part_of_the_pairs(spark, work, monkeypatch):
+    """As above, counting what each query has met, on the exact graph; a node is in the list of a query once."""
+    n = 4000
+    matrix = np.random.default_rng(4).standard_normal((n, 4))
+    far = np.sqrt(((matrix[:, None] - matrix[None]) ** 2).sum(2))
+    np.fill_diagonal(far, np.inf)
+    near = np.argsort(far, axis=1)[:, :28]
+    nodes = work.save(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "node long, vec array<double>"), "nodes")
+    graph = spark.createDataFrame([(i, int(j), float(far[i, j])) for i in range(n) for j in near[i]], "u long, v long, d double")
+    monkeypatch.setattr(work, "drop", lambda *names: None)
+    starts = spark.createDataFrame([(q,) for q in range(0, n, 200)], "q long")
+    found = nn_descent.walk(starts, nodes, graph, work, nn_descent.Settings(), 11).collect()
+    np.fill_diagonal(far, 0)
+    assert {(r.q, r.node) for r in found} == {(q, int(j)) for q in range(0, n, 200) for j in np.argsort(far[q])[:11]}
+    step = 0
+    while os.path.isdir(work.path(f"walk-{step + 1}").removeprefix("file:")):
+        step += 1
+    lists = [np.frombuffer(r.q, np.int32) for r in spark.read.parquet(work.path(f"walk-{step}")).collect()]
+    assert all(len(x) == len(set(x.tolist())) for x in lists)
+    assert 11 <= sum(map(len, lists)) / 20 <= n / 3
+
+
+def test_search_keeps_no_row_for_a_link(spark, work, monkeypatch):
+    """Links and what queries meet travel as arrays of blocks: no working table has more rows than there are vectors."""
+    n, rows, save = 600, {}, work.save
+
+    def counted(df, name):
+        saved = save(df, name)
+        rows[name] = saved.count()
+        return saved
+
+    monkeypatch.setattr(work, "save", counted)
+    matrix = np.random.default_rng(6).standard_normal((n, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id long, embedding array<double>")
+    found = nn_descent.search(frame, F.col("id") % 100 == 0, work).collect()
+    for q in range(0, n, 100):
+        far = np.sqrt(((matrix - matrix[q]) ** 2).sum(1))
+        assert {r.vec_id for r in found if r.query_id == q} == set(np.argsort(far)[1:11].tolist())
+    assert max(rows.values()) <= n, rows
+
+
 @pytest.mark.parametrize("n", [0, 1, 3])
 def test_few_vectors(spark, work, n):
     frame = spark.createDataFrame([(100 * i, [float(i), 1.0]) for i in range(n)], "vec_id long, embedding array<float>")
